@@ -40,11 +40,12 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_map, slices, small, strings
 
-TRAIN_DOCS, MAX_TERMS = 10_000, 60_000
+TRAIN_DOCS, MAX_TERMS = 6_000, 60_000
 ORDER, DECAY, LONGEST = 3, 0.7, 20
-POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, REACH = 32, 16, 0.34
+POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, REACH = 32, 16, 0.5
 _LOOKS = str.maketrans("013457@$!", "oieastasi")
-_CACHE = 300_000
+#: Bytes of text whose distinct chunks are scored together.
+_SLICE = 32 << 20
 
 
 def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -70,10 +71,10 @@ def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECA
 
 
 def letters(words: list[str], pad: int) -> np.ndarray:
-    width = max([ORDER, *map(len, words)])
-    out = np.full((len(words), width), pad, np.int32)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.int32)
+    """Words as rows of code points."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.full((len(words), max(ORDER, int(size.max(initial=0)))), pad, np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.int32)
     return out
 
 
@@ -114,21 +115,22 @@ class Model:
         for i, o in enumerate(own):
             for b in o:
                 self.need[i, b // 64] |= np.uint64(1) << np.uint64(b % 64)
-        self.least = np.array([max(1, int(np.ceil(REACH * len(o)))) for o in own])
+        self.least = np.array([max(int(np.ceil(REACH * len(o))), min(3, len(o) - 1), 1) for o in own])
 
     def near(self, words: list[str]) -> np.ndarray:
         """Which words hold enough letter pairs, at most three letters apart, of a positive landmark."""
-        if not words or not len(self.need):
-            return np.zeros(len(words), bool)
-        c = letters(words, 0)
-        mask = np.zeros((len(words), self.lanes), np.uint64)
-        for gap in (1, 2, 3, 4):
-            for i in range(c.shape[1] - gap):
-                both = (c[:, i] != 0) & (c[:, i + gap] != 0)
-                mask |= np.where(both[:, None], self.table[_pair(c[:, i], c[:, i + gap])], np.uint64(0))
         out = np.zeros(len(words), bool)
-        for need, least in zip(self.need, self.least):
-            out |= np.bitwise_count(mask & need).sum(1) >= least
+        if not len(self.need):
+            return out
+        for k in range(0, len(words), 16_384):
+            c = letters(words[k : k + 16_384], 0)
+            mask = np.zeros((len(c), self.lanes), np.uint64)
+            for gap in (1, 2, 3, 4):
+                for i in range(c.shape[1] - gap):
+                    live = c[:, i + gap] != 0  # words are padded at the end only
+                    mask[live] |= self.table[_pair(c[live, i], c[live, i + gap])]
+            for need, least in zip(self.need, self.least):
+                out[k : k + len(c)] |= np.bitwise_count(mask & need).sum(1) >= least
         return out
 
     def values(self, words: list[str]) -> np.ndarray:
@@ -159,48 +161,58 @@ def windows(chunk: str) -> list[str]:
     return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
-def text_values(texts: pa.Array, model: Model, cache: dict[str, float]) -> np.ndarray:
+def chunk_values(chunks: pa.Array, model: Model) -> np.ndarray:
+    """The largest decision value of the windows of each chunk."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(chunks), r"[\x00-\x2F\x3A-\x3F\x5B-\x60\x7B-\x7F]+", "")
+    odd = pc.or_(pc.match_substring_regex(chunks, "[0-9@$!]"), pc.greater(pc.utf8_length(plain), LONGEST))
+    coded = pc.dictionary_encode(pc.if_else(odd, pa.scalar(""), plain))
+    words = coded.dictionary.to_pylist()
+    fit = [i for i, w in enumerate(words) if len(w) >= ORDER]
+    value = np.full(len(words), model.bias, np.float64)
+    value[fit] = model.values([words[i] for i in fit])
+    out = value[coded.indices.to_numpy(zero_copy_only=False)] if len(chunks) else np.zeros(0)
+    # chunks with look-alikes, and long ones, which are cut into windows
+    which = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+    for k in range(0, len(which), 16_384):
+        some = which[k : k + 16_384]
+        parts = [windows(chunks[i].as_py()) for i in some]
+        own = sorted({w for p in parts for w in p})
+        found = dict(zip(own, model.values(own)))
+        out[some] = [max((found[w] for w in p), default=model.bias) for p in parts]
+    return out
+
+
+def text_values(texts: pa.Array, model: Model) -> np.ndarray:
     """The largest decision value of the windows of each text."""
     lists = pc.ascii_split_whitespace(texts)
-    flat = lists.flatten()
-    coded = pc.dictionary_encode(flat)
-    chunks = coded.dictionary.to_pylist()
+    coded = pc.dictionary_encode(lists.flatten())
+    chunks = coded.dictionary
     which = coded.indices.to_numpy(zero_copy_only=False)
     at = lists.offsets.to_numpy().astype(np.int64)
     at = at - at[0]
-    if len(cache) > _CACHE:
-        cache.clear()
-    new = [c for c in chunks if c not in cache]
-    _fill(new, model, cache)
-    value = np.array([cache[c] for c in chunks], np.float64)[which] if chunks else np.zeros(0)
     out = np.full(len(texts), model.bias, np.float64)
+    if not len(chunks):
+        return out
+    value = chunk_values(chunks, model)[which]
     some = np.flatnonzero(np.diff(at))
-    if len(some):
-        out[some] = np.maximum.reduceat(value, at[:-1][some])
-    # words spelled letter by letter
-    single = np.array([sum(x.isalnum() for x in c) == 1 and len(c) <= 2 for c in chunks], bool)[which] if chunks else np.zeros(0, bool)
+    out[some] = np.maximum.reduceat(value, at[:-1][some])
+    # words spelled letter by letter: runs of four or more chunks of one letter
+    short = np.flatnonzero(pc.less_equal(pc.utf8_length(chunks), 2).to_numpy(zero_copy_only=False))
+    flag = np.zeros(len(chunks), bool)
+    flag[short] = [sum(x.isalnum() for x in chunks[int(i)].as_py()) == 1 for i in short]
+    single = flag[which]
     if single.any():
         edge = np.zeros(len(single) + 1, bool)
         edge[at] = True
         begin = np.flatnonzero(single & (edge[:-1] | ~np.concatenate([[False], single[:-1]])))
         end = np.flatnonzero(single & (edge[1:] | ~np.concatenate([single[1:], [False]]))) + 1
         for b, e in zip(begin[end - begin >= 4].tolist(), end[end - begin >= 4].tolist()):
-            own = "".join(chunks[k] for k in which[b:e])
+            own = windows("".join(chunks[int(k)].as_py() for k in which[b:e]))
             i = int(np.searchsorted(at, b, "right")) - 1
-            part = {own: model.bias}
-            _fill([own], model, part)
-            out[i] = max(out[i], part[own])
+            out[i] = max([out[i], *model.values(own)])
     return out
 
 
-def _fill(new: list[str], model: Model, cache: dict[str, float]) -> None:
-    parts = [windows(c) for c in new]
-    words = sorted({w for p in parts for w in p})
-    value = dict(zip(words, model.values(words)))
-    for c, p in zip(new, parts):
-        cache[c] = max((value[w] for w in p), default=model.bias)
-
-
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Minimize ridge / 2 |w|^2 + sum of weighted squared hinges by Newton steps over the active set."""
     w, active = np.zeros(x.shape[1]), np.ones(len(y), bool)
@@ -223,9 +235,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str = "toxic", mos
 
 def _terms(rows: DataFrame) -> DataFrame:
     """Words and beginnings with the numbers of contexts of either label."""
-    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\s]", "")
-    own = rows.select("label", F.split(plain, r"\s+").alias("w"))
-    own = own.select("label", F.explode(F.array_distinct(F.arrays_zip(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("b")))).alias("p"))
+    own = rows.select("label", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+").alias("w"))
+    follow = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda b, a: F.struct(a.alias("a"), b.alias("b")))
+    own = own.select("label", F.explode(follow).alias("p"))
     own = own.select("label", F.col("p.a").alias("word"), F.col("p.b").alias("before")).filter(F.length("word").between(ORDER, LONGEST))
     own = own.groupBy("word", "before").agg(F.max("label").alias("label"), F.min("label").alias("least"))
     word = own.groupBy("word").agg(F.sum("label").cast("long").alias("a"), F.sum(1 - F.col("least")).cast("long").alias("b"))
@@ -296,12 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = T
 
 
 def _score(model: Model, column: str = "text"):
-    cache: dict[str, float] = {}
-
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
-                value = text_values(strings(part.column(part.schema.get_field_index(column))), model, cache)
+            for part in slices(batch, column, _SLICE):
+                value = text_values(strings(part.column(part.schema.get_field_index(column))), model)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value), pa.array(model.score(value))], names=[*part.schema.names, "value", "score"])
 
     return run
