@@ -13,8 +13,13 @@ DATA = "/root/testdata/sf0.001"
 
 
 def canon(df):
-    df = df[sorted(df.columns)]
-    return sorted(tuple(None if v is None or v != v else (round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)) for v in row) for row in df.itertuples(index=False))
+    def plain(v):
+        if v is None or v != v:
+            return None
+        return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+    rows = df[sorted(df.columns)].itertuples(index=False)
+    return sorted((tuple(map(plain, r)) for r in rows), key=repr)
 
 
 @pytest.fixture(scope="module")
