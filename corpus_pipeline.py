@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two benchmark items or more go."""
+    """Documents that hold eight consecutive words of a benchmark item, or two shorter items, go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -151,11 +151,8 @@ def _parts(benchmark: DataFrame, part_bytes: int):
         yield own
 
 
-def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_bytes: int = PART_BYTES, keep_text: bool = False) -> DataFrame:
-    """For each document: doc_id, n_words, n_hit (words in an occurrence) and the sorted ids of the items found.
-
-    ``keep_text`` keeps all columns of ``docs`` instead of doc_id alone.
-    """
+def _occurrences(docs: DataFrame, benchmark: DataFrame, width: int, part_bytes: int, keep_text: bool) -> DataFrame:
+    """What is kept of each document, n_words, hits (first word and number of words of each occurrence) and items."""
     have = docs if keep_text else docs.select("doc_id", "text")
     own = {"n_words", "hits", "items", "n_hit", "octa_row"}
     if clash := own & set(have.columns):
@@ -176,7 +173,15 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_bytes
         n = F.count(F.lit(1)) / parts
         found = found.groupBy(*key, "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), n.cast("int").alias("octa_row"))
         found = found.withColumn("octa_row", F.explode(F.sequence(F.lit(1), "octa_row"))).drop("octa_row")
-    return found.withColumn("n_hit", _union("hits")).drop("hits")
+    return found
+
+
+def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_bytes: int = PART_BYTES, keep_text: bool = False) -> DataFrame:
+    """For each document: doc_id, n_words, n_hit (words in an occurrence) and the sorted ids of the items found.
+
+    ``keep_text`` keeps all columns of ``docs`` instead of doc_id alone.
+    """
+    return _occurrences(docs, benchmark, width, part_bytes, keep_text).withColumn("n_hit", _union("hits")).drop("hits")
 
 
 def _union(spans: str):
@@ -204,6 +209,13 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_items:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_items: int = 2) -> DataFrame:
-    """The documents that are not contaminated, with the columns they came with."""
-    return search(docs, benchmark, width, keep_text=True).filter(F.size("items") < min_items).select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_items: int = 2, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The documents that leak nothing, with the columns they came with.
+
+    One occurrence of a whole window of ``width`` words is a leak. Items that
+    are shorter than a window may be common phrases: these condemn a document
+    only if it holds ``min_items`` items or more.
+    """
+    found = _occurrences(docs, benchmark, width, part_bytes, True)
+    leak = F.exists(F.sequence(F.lit(0), F.greatest(F.size("hits") / 2 - 1, F.lit(0)).cast("int")), lambda i: F.coalesce(F.get("hits", 2 * i + 1) >= width, F.lit(False)))
+    return found.filter(~leak & (F.size("items") < min_items)).select(docs.columns)

@@ -231,7 +231,11 @@ def test_op6(spark, corpus, empty, part_bytes):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
     assert decontaminate.report(empty, bench).count() == 0
     assert decontaminate.report(df, bench.limit(0)).filter("n_items > 0").count() == 0
-    assert decontaminate.clean(df, bench).columns == df.columns
+    kept = decontaminate.clean(df, bench, part_bytes=part_bytes)
+    grams = {p for p in pats if len(p) == 8}
+    leaks = {i for i, t in texts.items() if any(tuple(tokens(t)[k : k + 8]) in grams for k in range(len(tokens(t)) - 7))}
+    leaks |= {i for i, t in texts.items() if len({x for p, own in pats.items() for k in range(len(tokens(t)) - len(p) + 1) if tuple(tokens(t)[k : k + len(p)]) == p for x in own}) >= 2}
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(texts) - leaks and leaks
 
 
 @pytest.mark.parametrize("block", [1024, 2])
