@@ -146,7 +146,8 @@ def report(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     if n == 0:
         return docs.select(*[F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in SCHEMA.split(", "))]).limit(0)
     ranges = max(n // range_rows, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select("doc_id", "text", _span(ids, ranges).alias("span"))
+    # four spans for each partition, so that hashing deals them evenly
+    rows = docs.select("doc_id", "text", _span(ids, 4 * ranges).alias("span"))
     # the first doc_id of each range that has any: a row for each range
     heads = rows.groupBy("span").agg(F.max("doc_id").alias("head"))
     heads = heads.select("span", "head", F.coalesce(F.lag("span").over(Window.orderBy("span")), F.lit(-1)).alias("to"))
