@@ -232,9 +232,12 @@ def test_op6(spark, corpus, empty, part_bytes):
     assert decontaminate.report(empty, bench).count() == 0
     assert decontaminate.report(df, bench.limit(0)).filter("n_items > 0").count() == 0
     kept = decontaminate.clean(df, bench, part_bytes=part_bytes)
-    grams = {p for p in pats if len(p) == 8}
-    leaks = {i for i, t in texts.items() if any(tuple(tokens(t)[k : k + 8]) in grams for k in range(len(tokens(t)) - 7))}
-    leaks |= {i for i, t in texts.items() if len({x for p, own in pats.items() for k in range(len(tokens(t)) - len(p) + 1) if tuple(tokens(t)[k : k + len(p)]) == p for x in own}) >= 2}
+    leaks = set()
+    for i, t in texts.items():
+        w = tokens(t)
+        own = {m: {p for k in range(len(w) - m + 1) if (p := tuple(w[k : k + m])) in pats} for m in {len(p) for p in pats}}
+        if own[8] or len({x for found in own.values() for p in found for x in pats[p]}) >= 2:
+            leaks.add(i)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(texts) - leaks and leaks
 
 
