@@ -65,6 +65,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     texts = batch.column(batch.schema.get_field_index(column))
     if len(texts) == 0:
         return
+    give_back()
     size = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
     at = 0
     while at < len(texts):

@@ -45,7 +45,7 @@ ORDER, DECAY, LONGEST = 3, 0.7, 20
 POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, REACH = 32, 16, 0.5
 _LOOKS = str.maketrans("013457@$!", "oieastasi")
 #: Bytes of text whose distinct chunks are scored together.
-_SLICE = 12 << 20
+_SLICE = 8 << 20
 
 
 def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
