@@ -201,6 +201,12 @@ def test_token_ids_equal_the_library():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in want]
 
 
+def test_op5_pieces_that_fill_half_a_sequence(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("one two three four five six").alias("text"))  # 7 tokens each
+    got = packing.pack(docs, capacity=10, cell=16).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max("offset").alias("last")).collect()
+    assert len(got) == 40 and {(r.n, r.last) for r in got} == {(7, 0)}
+
+
 def test_crossover_keeps_every_document():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 60, 200)
