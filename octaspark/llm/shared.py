@@ -23,6 +23,9 @@ from ..cluster import ship
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a Python worker turns into arrays at a time.
 SLICE_BYTES = 2 << 20
+#: Bytes of the batches that go to Python workers, for sessions that set no limit: Spark's own is a number of rows.
+BATCH_BYTES = 6 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -108,6 +111,8 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package importable in the workers."""
-    ship(df.sparkSession)
+    """``df.mapInArrow`` with this package importable in the workers and, unless the session has its own limit, batches of BATCH_BYTES."""
+    spark = ship(df.sparkSession)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
