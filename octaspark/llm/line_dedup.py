@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .shared import drop, save, small
 
 WINDOW, MIN_LINES, LONG_LINE = 2, 2, 160
+#: Matches with one source document that are extended together; a source with more is dealt to several groups.
+SHARE = 1024
 
 
 def _lines(docs: DataFrame, long_line: int) -> DataFrame:
@@ -60,32 +62,39 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_L
     prints = _fingerprints(lines.select("doc", "doc_id", "th", "h", "long"), window)
     where = F.struct(F.col("doc_id").isNotNull(), "doc_id", "th", "pos", "doc")
     hub = prints.groupBy("key").agg(F.min(where).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("hub.doc").alias("src"), F.col("hub.pos").alias("src_pos"))
-    met = prints.join(hub, "key").filter("doc <> src OR pos <> src_pos").select("doc", "src", (F.col("pos") - F.col("src_pos")).alias("shift")).distinct()
+    hub, hub_at = save(hub)
+    met = prints.join(small(hub), "key").filter("doc <> src OR pos <> src_pos").select("doc", "src", (F.col("pos") - F.col("src_pos")).alias("shift")).distinct()
     met, met_at = save(met)
     # both documents' lines side by side; only documents that have a match are moved
     own = lines.select("doc", "h", "long")
-    sides = met.join(own, "doc").join(own.select(F.col("doc").alias("src"), F.col("h").alias("src_h")), "src")
+    hot = met.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("parts")).filter("parts > 1")
+    hot, hot_at = save(hot)
+    parts = F.coalesce("parts", F.lit(1))
+    mine = met.join(small(hot), "src", "left").withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int")).drop("parts")
+    source = own.select(F.col("doc").alias("src"), F.col("h").alias("src_h")).join(small(hot), "src", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    sides = mine.join(own, "doc").join(source, ["src", "part"])
     low, high = F.greatest(F.lit(1), F.col("shift") + 1), F.least(F.size("h"), F.size("src_h") + F.col("shift"))
     same = F.filter(F.sequence(low, high), lambda p: F.element_at("h", p) == F.element_at("src_h", p - F.col("shift")))
-    agree = sides.filter(low <= high).select("doc", "src", "shift", "long", F.explode(same).alias("p")).select("doc", "src", "shift", "p", F.element_at("long", F.col("p")).alias("long"))
-    island = F.col("p") - F.row_number().over(Window.partitionBy("doc", "src", "shift").orderBy("p"))
-    runs = agree.withColumn("island", island).groupBy("doc", "src", "shift", "island").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("n"), F.max("long").alias("long"))
+    agree = sides.filter(low <= high).select("doc", "src", "part", "shift", "long", F.explode(same).alias("p")).select("doc", "src", "part", "shift", "p", F.element_at("long", F.col("p")).alias("long"))
+    island = F.col("p") - F.row_number().over(Window.partitionBy("doc", "src", "part", "shift").orderBy("p"))
+    runs = agree.withColumn("island", island).groupBy("doc", "src", "part", "shift", "island").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("n"), F.max("long").alias("long"))
     gone = runs.filter((F.col("n") >= min_lines) | F.col("long")).select("doc", F.explode(F.sequence(F.col("first"), (F.col("first") + F.col("n") - 1).cast("int"))).alias("p")).distinct()
     gone = gone.groupBy("doc").agg(F.array_sort(F.collect_list("p")).alias("p"))
     out = gone.join(lines.select("doc", "doc_id", "th", "at"), "doc").select("doc_id", "th", F.transform("p", lambda i: F.element_at("at", i)).alias("gone"))
     out, _ = save(out)
-    drop(spark, lines_at, met_at)
+    drop(spark, lines_at, hub_at, met_at, hot_at)
     return out
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
     """``docs`` with the column kept_text (its text without repeated lines) and lines_gone (how many)."""
-    gone = small(repeated_lines(docs, window, min_lines, long_line).withColumnsRenamed({"doc_id": "octa_id", "th": "octa_th"}))
+    gone = small(repeated_lines(docs, window, min_lines, long_line).withColumnsRenamed({"doc_id": "octa_id", "th": "octa_th"}), held=F.size("gone"))
     taken = {"kept_text", "lines_gone", "gone"} & set(docs.columns)
     docs = docs.drop(*taken)
     rows = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("octa_id")) & (F.xxhash64("text") == F.col("octa_th")), "left")
-    # "gone" is sorted, so the kept lines are those that it doesn't hold
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i + 1)), "\n")
+    lines = F.split("text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("gone"))
+    kept = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i)), "\n")
     return rows.select(*docs.columns, F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_gone"))
 
 

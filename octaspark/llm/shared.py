@@ -14,7 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
@@ -58,9 +58,14 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows (it must be cheap to count), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, held: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (it must be cheap to count), else as it is.
+
+    ``held`` is the number of elements of a row's array; a broadcast holds at most four times ``rows`` of them.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return df
+    return df if held is not None and (df.agg(F.sum(held)).first()[0] or 0) > 4 * rows else F.broadcast(df)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):

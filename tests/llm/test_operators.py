@@ -289,6 +289,15 @@ def test_op8(spark):
     assert line_dedup.report(df.limit(0)).count() == 0
 
 
+def test_op8_hot_source(spark, monkeypatch):
+    rows = [(i, f"own {i}\nshared one\nshared two\nshared three\nend {i}") for i in range(30)] + [(40 + i, f"a {i}\nshared three\nb {i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = line_dedup.dedup(df).select("doc_id", "kept_text").orderBy("doc_id").collect()
+    monkeypatch.setattr(line_dedup, "SHARE", 2)
+    got = line_dedup.dedup(df).select("doc_id", "kept_text").orderBy("doc_id").collect()
+    assert got == want and [r.kept_text for r in got] == [rows[0][1]] + [f"own {i}\nend {i}" for i in range(1, 30)] + [t for _, t in rows[30:]]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
