@@ -30,10 +30,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, the one with the least doc_id."""
-    gone = ngram_join.join(docs).filter("NOT keep").select(F.col("doc_id").alias("octa_id"))
-    gone, _ = save(gone.distinct())
-    return docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["octa_id"]), "left_anti")
+    """One row of each class of near duplicates stays, of the least doc_id; rows are told apart by a number, since doc_ids may repeat or be null."""
+    rows, _ = save(docs.withColumn("octa_row", F.monotonically_increasing_id()))
+    gone, _ = save(ngram_join.join(rows, row_id="octa_row").filter("NOT keep").select("octa_row"))
+    return rows.join(small(gone), "octa_row", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

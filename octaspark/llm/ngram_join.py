@@ -65,7 +65,7 @@ def signatures(sh: np.ndarray, first: np.ndarray, trees: int, depth: int) -> np.
     return out
 
 
-def _sign(size: int, trees: int, depth: int):
+def _sign(size: int, trees: int, depth: int, carried: list[str]):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -76,8 +76,8 @@ def _sign(size: int, trees: int, depth: int):
                 keys = signatures(sh, first, trees, depth).view(np.int64) if len(sh) else np.zeros((0, trees), np.int64)
                 ends = np.concatenate([[0], np.cumsum((n > 0) * trees)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index("doc_id")), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))],
-                    names=["doc_id", "hi", "lo", "n", "prefixes"],
+                    [*(part.column(part.schema.get_field_index(c)) for c in carried), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))],
+                    names=[*carried, "hi", "lo", "n", "prefixes"],
                 )
 
     return run
@@ -192,12 +192,16 @@ def _compare(num: int, den: int):
     return run
 
 
-def join(docs: DataFrame, size: int = SIZE, num: int = 4, den: int = 5, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """Classes and numbers of links of all documents; see the module's text. The threshold is num / den."""
+def join(docs: DataFrame, size: int = SIZE, num: int = 4, den: int = 5, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, row_id: str | None = None) -> DataFrame:
+    """Classes and numbers of links of all documents; see the module's text. The threshold is num / den.
+
+    ``row_id`` names a column that comes back with each row: doc_id needn't be unique.
+    """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    carried = ["doc_id"] + ([row_id] if row_id else [])
+    docs = docs.select(*carried, "text")
     length = prefix_length(trees, depth, num / den, recall)
-    signed = arrow_map(docs, _sign(size, trees, length), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, hi long, lo long, n long, prefixes array<long>")
+    signed = arrow_map(docs, _sign(size, trees, length, carried), ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried) + ", hi long, lo long, n long, prefixes array<long>")
     texts, texts_at = save(signed.withColumn("row", F.monotonically_increasing_id()))
     rep = texts.groupBy("hi", "lo").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("kept"))
     rep, rep_at = save(rep)
@@ -231,7 +235,7 @@ def join(docs: DataFrame, size: int = SIZE, num: int = 4, den: int = 5, trees: i
     empty = F.col("n") == 0
     out = texts.join(named.select("hi", "lo", "rep", "class_id", "links", "copies", "first", "kept"), ["hi", "lo"])
     out = out.select(
-        "doc_id",
+        *carried,
         F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
         (empty | ((F.col("rep") == F.col("first")) & (F.col("row") == F.col("kept")))).alias("keep"),
