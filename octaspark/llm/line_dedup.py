@@ -3,16 +3,19 @@
 A document is its sequence of non-blank lines (trimmed, hashed). Fingerprints:
 
 * of each ``window`` consecutive pairs of lines, the pair with the least hash
-  (the last of equal ones) is chosen, as in winnowing with k = 2;
+  (the last of equal ones) is chosen, as in winnowing with k = 2; with the
+  default window of 1 that is every pair, so every repeated pair is found;
 * every line of ``long_line`` characters or more is chosen by itself.
 
 A fingerprint is joined with its earliest occurrence (by doc_id, then text,
 then line): a row for each occurrence, not for each pair. From there the match
 is extended both ways along the same offset, as long as the lines agree. The
 later run goes if it has ``min_lines`` lines or one line of ``long_line``
-characters. So every run of ``window`` + 1 lines or more that repeats an
-earlier run whose fingerprints occur there first is deleted, shorter ones if
-their pair was chosen, and the earliest occurrence always stays.
+characters. With a window of 1 every repeated run of two lines or more goes,
+since each of its pairs is joined with the earliest equal one; a shorter line
+between unlike neighbours stays, however often it occurs. With a wider window
+only runs of ``window`` + 1 lines whose fingerprints first occur together are
+certain. The earliest occurrence always stays.
 
 Blank lines stay where they are. A null text stays null, an empty one empty.
 Rows that share doc_id and text are one document and get equal results; a null
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import drop, save, small
 
-WINDOW, MIN_LINES, LONG_LINE = 2, 2, 160
+WINDOW, MIN_LINES, LONG_LINE = 1, 2, 160
 #: Matches with one source document that are extended together; a source with more is dealt to several groups.
 SHARE = 1024
 
