@@ -1,12 +1,13 @@
-"""N-gram Jaccard join: MinHash LSH forest over word shingles, then exact verification.
+"""N-gram Jaccard join: MinHash banding over word shingles, then exact verification.
 
 A document is the set of its shingles of ``size`` words (all its words, if they
 are fewer); two documents are linked if the Jaccard similarity of their sets is
 ``threshold`` or more. Texts with equal word sequences are one *text*.
 
-1. Each distinct text gets a signature for each of ``trees`` prefix trees. The
-   forest starts from prefixes of ``depth`` MinHashes and shortens them until the
-   chance to find a pair at the threshold reaches ``recall``.
+1. Each distinct text gets a signature for each of ``trees`` bands (trees of
+   depth one, not a forest of sorted prefixes). All bands have one fixed length:
+   the longest, ``depth`` MinHashes at most, with which the chance to find a pair
+   at the threshold reaches ``recall``.
 2. Texts that share a prefix in a tree are candidates. They are grouped through
    the smallest text of each prefix, a row for each text and tree rather than for each pair,
    and connected into candidate groups.
