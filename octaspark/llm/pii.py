@@ -11,10 +11,10 @@ span, gets votes (1 yes, 0 no, 2 none) of labelers:
 * ``variety``: its characters are neither all alike nor only a few.
 
 Expectation-maximization over the counts of vote patterns (a bounded table,
-whatever the corpus) estimates each labeler's reliability and each pattern's
-probability. A logistic classifier over votes and kind is then trained on
-these probabilities, and candidates it gives 0.5 or more become spans, unless
-they overlap a base span.
+whatever the corpus) estimates, for each kind by itself, each labeler's
+reliability and each pattern's probability. A logistic classifier over kinds
+and their votes is then trained on these probabilities, and candidates it gives
+0.5 or more become spans, unless they overlap a base span.
 
 Positions count code points, from 0, end exclusive. Nulls count as empty texts.
 """
@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import let, save
 
 #: Strict patterns. Possessive quantifiers and look-behinds match what plain leftmost greedy search
 #: matches, in linear time: a match can only begin where a run begins or the last match ended.
@@ -71,20 +71,38 @@ CONTEXT = {
 BEFORE = 24
 
 
+def scan(values: Column, join) -> Column:
+    """What ``join`` (associative) makes of each beginning of an array, in as many steps as its length has binary digits."""
+
+    def run(own: Column) -> Column:
+        digits = F.ceil(F.log2(F.greatest(F.size(own), F.lit(2)).cast("double"))).cast("int")
+        apart = F.transform(F.sequence(F.lit(0), digits - 1), lambda k: F.pow(F.lit(2), k).cast("int"))
+        step = lambda a, d: F.transform(a, lambda x, i: F.when(i >= d, join(F.get(a, i - d), x)).otherwise(x))
+        return F.when(F.size(own) <= 1, own).otherwise(F.aggregate(apart, own, step))
+
+    return let(values, run)
+
+
 def spans(text: Column, pattern: str, hint: str) -> Column:
-    """All matches as array<struct<start, stop, s, before, after>>, from the pieces between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda p, m: F.struct(F.char_length(p).alias("gap"), m.alias("s")))
-    none = F.array().cast("array<struct<start:bigint,stop:bigint,s:string>>")
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.char_length(x["s"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.char_length(x["s"])).alias("stop"), x["s"].alias("s")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    """All matches as array<struct<start, stop, s, before, after>>, from the pieces between them.
+
+    ``before`` holds up to BEFORE characters, not from further back than the
+    match before. The time is linear in the text, but for a factor of the
+    logarithm of the number of matches.
+    """
+    none = F.array().cast("array<struct<start:bigint,stop:bigint,s:string,before:string,after:string>>")
+
+    def build(found: Column, pieces: Column) -> Column:
+        ends = scan(F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: (F.char_length(p) + F.char_length(m)).cast("long")), lambda a, b: a + b)
+        follow = F.transform(found, lambda m, i: F.left(F.concat(F.get(pieces, i + 1), F.coalesce(F.get(found, i + 1), F.lit(""))), F.lit(1)))
+        lead = F.transform(found, lambda m, i: F.right(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(pieces, i)), F.lit(BEFORE)))
+        zipped = F.arrays_zip(ends.alias("stop"), found.alias("s"), lead.alias("before"), follow.alias("after"))
+        return F.transform(
+            zipped,
+            lambda z: F.struct((z["stop"] - F.char_length(z["s"])).alias("start"), z["stop"].alias("stop"), z["s"].alias("s"), z["before"].alias("before"), z["after"].alias("after")),
+        )
+
+    walked = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(F.split(text, pattern, -1), lambda pieces: build(found, pieces)))
     return F.when(text.rlike(hint), walked).otherwise(none)
 
 
@@ -128,12 +146,7 @@ def extract(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         if kind in BASE:
             rows = rows.withColumn(f"b_{kind}", F.filter(spans(F.col("text"), BASE[kind], HINT[kind]), _valid(kind)))
-    around = lambda x: F.struct(
-        x["start"].alias("start"), x["stop"].alias("stop"), x["s"].alias("s"),
-        F.substr(F.col("text"), F.greatest(x["start"] - BEFORE + 1, F.lit(1)).cast("int"), F.least(x["start"], F.lit(BEFORE)).cast("int")).alias("before"),
-        F.substr(F.col("text"), (x["stop"] + 1).cast("int"), F.lit(1)).alias("after"),
-    )
-    named = lambda k, strict: lambda x: F.struct(F.lit(k).alias("kind"), F.lit(strict).alias("base"), around(x).alias("at"))
+    named = lambda k, strict: lambda x: F.struct(F.lit(k).alias("kind"), F.lit(strict).alias("base"), x.alias("at"))
     base = [F.transform(f"b_{k}", named(k, True)) for k in BASE]
     loose = [F.transform(spans(F.col("text"), LOOSE[k], LOOSE_HINT[k]), named(k, False)) for k in LOOSE]
     return rows.select("doc_id", F.concat(*base, *loose).alias("found"))
@@ -161,14 +174,20 @@ def vote(x: Column) -> Column:
     )
 
 
-def reliabilities(counts: list[tuple[tuple[int, ...], float]], rounds: int = 50) -> tuple[float, list[dict], list[float]]:
-    """EM over (votes, count): the share of true candidates, each labeler's vote chances by truth, each pattern's probability."""
+def reliabilities(counts: list[tuple[tuple[int, ...], float]], sure: list[tuple[tuple[int, ...], float]] = (), rounds: int = 50) -> tuple[float, list[dict], list[float]]:
+    """EM over (votes, count): the share of true candidates, each labeler's vote chances by truth, each pattern's probability.
+
+    ``sure`` are patterns of spans that are true: they count for the vote chances, at most as much as all others, not for the share.
+    """
     post = [sum(v == 1 for v in p) / max(1, sum(v != 2 for v in p)) for p, _ in counts]
+    total = sum(n for _, n in counts)
+    scale = min(1.0, total / max(1.0, sum(n for _, n in sure)))
     prior, tables = 0.5, []
     for _ in range(rounds):
         yes = sum(n * q for (_, n), q in zip(counts, post))
-        no = sum(n for _, n in counts) - yes
+        no = total - yes
         prior = (yes + 1) / (yes + no + 2)
+        given = scale * sum(n for _, n in sure)
         tables = []
         for k in range(len(VOTES)):
             own = {v: [1.0, 1.0] for v in (0, 1, 2)}
@@ -177,7 +196,9 @@ def reliabilities(counts: list[tuple[tuple[int, ...], float]], rounds: int = 50)
             for (p, n), q in zip(counts, post):
                 own[p[k]][1] += n * q
                 own[p[k]][0] += n * (1 - q)
-            tables.append({v: (a / (no + 4), b / (yes + 4)) for v, (a, b) in own.items()})
+            for p, n in sure:
+                own[p[k]][1] += n * scale
+            tables.append({v: (a / (no + 4), b / (yes + given + 4)) for v, (a, b) in own.items()})
         new = []
         for p, _ in counts:
             odds = math.log(prior / (1 - prior)) + sum(math.log(tables[k][v][1] / tables[k][v][0]) for k, v in enumerate(p))
@@ -189,7 +210,8 @@ def reliabilities(counts: list[tuple[tuple[int, ...], float]], rounds: int = 50)
 
 
 def _features(kind: str, votes: tuple[int, ...]) -> list[float]:
-    return [1.0, *(float(kind == k) for k in KINDS), *(x for v in votes for x in (float(v == 1), float(v == 0)))]
+    """One, the kind, and for each kind its votes: a labeler counts for each kind by itself."""
+    return [1.0, *(float(kind == k) for k in KINDS), *(float(kind == k) * x for k in KINDS for v in votes for x in (float(v == 1), float(v == 0)))]
 
 
 def classifier(rows: list[tuple[str, tuple[int, ...], float, float]], rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> list[float]:
@@ -209,35 +231,63 @@ def classifier(rows: list[tuple[str, tuple[int, ...], float, float]], rounds: in
     return w
 
 
+def free(found: Column) -> Column:
+    """The candidates that overlap no base span: all spans in the order of their starts, with what base spans reach from the left and from the right."""
+    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["at"]["start"].alias("start"), x["at"]["stop"].alias("stop"), x.alias("x"))))
+
+    def sift(own: Column) -> Column:
+        left = scan(F.transform(own, lambda o: F.when(o["x"]["base"], o["stop"]).otherwise(F.lit(-1).cast("long"))), lambda a, b: F.greatest(a, b))
+        right = scan(F.reverse(F.transform(own, lambda o: F.when(o["x"]["base"], o["start"]).otherwise(F.lit(1 << 62)))), lambda a, b: F.least(a, b))
+        both = F.arrays_zip(own.alias("o"), left.alias("l"), F.reverse(right).alias("r"))
+        kept = F.filter(both, lambda z: ~z["o"]["x"]["base"] & (z["l"] <= z["o"]["start"]) & (z["r"] >= z["o"]["stop"]))
+        return F.transform(kept, lambda z: z["o"]["x"])
+
+    return let(ordered, sift)
+
+
+def learn(counts: list[tuple[str, bool, tuple[int, ...], float]]) -> list[float]:
+    """Weights of the span classifier from (kind, base, votes, count); reliabilities are estimated for each kind by itself.
+
+    Base spans are certain, so their votes tell how the labelers see true
+    spans; what the loose candidates are is estimated.
+    """
+    rows = []
+    for kind in sorted({k for k, _, _, _ in counts}):
+        sure = [(v, n) for k, b, v, n in counts if k == kind and b]
+        own = [(v, n) for k, b, v, n in counts if k == kind and not b]
+        _, _, post = reliabilities(own, sure)
+        rows += [(kind, v, n, 1.0) for v, n in sure] + [(kind, v, n, q) for (v, n), q in zip(own, post)]
+    return classifier(rows)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base and added: arrays of struct<kind, start, stop, s> in the order of kinds and starts."""
     found, _ = save(extract(docs))
-    seen = found.select(F.explode("found").alias("x")).select(F.col("x.kind").alias("kind"), vote(F.col("x")).alias("v"))
-    table = seen.groupBy("kind", "v").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 5 kinds times 3 ** 5 patterns
-    table = sorted((r["kind"], tuple(r["v"]), float(r["n"])) for r in table)
-    _, _, post = reliabilities([(v, n) for _, v, n in table])
-    w = classifier([(k, v, n, q) for (k, v, n), q in zip(table, post)])
-    kinds, votes = w[1 : 1 + len(KINDS)], w[1 + len(KINDS) :]
+    seen = found.select(F.explode("found").alias("x")).select(F.col("x.kind").alias("kind"), F.col("x.base").alias("base"), vote(F.col("x")).alias("v"))
+    table = seen.groupBy("kind", "base", "v").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 times 5 kinds times 3 ** 5 patterns
+    w = learn(sorted((r["kind"], r["base"], tuple(r["v"]), float(r["n"])) for r in table))
+    size = len(KINDS) * (1 + 2 * len(VOTES))
 
     def margin(x: Column) -> Column:
-        own = F.lit(w[0])
         v = vote(x)
-        for k, c in zip(KINDS, kinds):
-            own = own + F.when(x["kind"] == k, F.lit(c)).otherwise(F.lit(0.0))
-        for i, name in enumerate(VOTES):
-            own = own + F.when(v[name] == 1, F.lit(votes[2 * i])).when(v[name] == 0, F.lit(votes[2 * i + 1])).otherwise(F.lit(0.0))
+        own = F.lit(w[0])
+        for k, kind in enumerate(KINDS):
+            part = F.lit(w[1 + k])
+            for i, name in enumerate(VOTES):
+                at = 1 + len(KINDS) + 2 * (k * len(VOTES) + i)
+                part = part + F.when(v[name] == 1, F.lit(w[at])).when(v[name] == 0, F.lit(w[at + 1])).otherwise(F.lit(0.0))
+            own = own + F.when(x["kind"] == kind, part).otherwise(F.lit(0.0))
         return own
 
-    base = F.filter("found", lambda x: x["base"])
-    free = lambda x: ~F.exists(F.col("base"), lambda b: (b["at"]["start"] < x["at"]["stop"]) & (x["at"]["start"] < b["at"]["stop"]))
-    rows = found.withColumn("base", base)
-    rows = rows.withColumn("added", F.filter(F.filter("found", lambda x: ~x["base"]), lambda x: free(x) & (margin(x) >= 0)))
+    assert len(w) == 1 + size
+    rows = found.withColumn("base", F.filter("found", lambda x: x["base"])).withColumn("loose", F.when(F.size("found") > 0, free(F.col("found"))).otherwise(F.col("found")))
+    rows = rows.withColumn("added", F.filter("loose", lambda x: margin(x) >= 0))
     flat = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["at"]["start"].alias("start"), x["at"]["stop"].alias("stop"), x["at"]["s"].alias("s")))
     return rows.select("doc_id", flat("base").alias("base"), flat("added").alias("added"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Numbers and a digest of the base spans, and all spans as text."""
+    """Numbers and a digest of the base spans, all spans as text, and the numbers of added spans by kind."""
     place = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     line = lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])
     every = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(place[x["kind"]].alias("k"), x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
@@ -247,4 +297,5 @@ def report(docs: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.transform("base", line), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform(every, line), ",").alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        *[F.size(F.filter("added", _is(k))).cast("long").alias(f"n_added_{k}") for k in LOOSE],
     )

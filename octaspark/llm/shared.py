@@ -110,6 +110,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often and in whatever lambda it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def hide(df: DataFrame, *keep: str) -> DataFrame:
+    """``df`` with all columns but those to keep under names that no operator uses; :func:`show` gives the names back."""
+    return df.toDF(*[c if c in keep else f"octa_c{i}" for i, c in enumerate(df.columns)])
+
+
+def show(df: DataFrame, like: DataFrame, *keep: str) -> DataFrame:
+    """The columns of ``like``, hidden by :func:`hide`, under their own names, and then the other columns of ``df``."""
+    own = hide(like, *keep).columns
+    return df.select(*[F.col(f"`{h}`").alias(c) for h, c in zip(own, like.columns)], *[c for c in df.columns if c not in own])
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; one that is missing is null."""
     return df.select(*[F.col(n) if n in df.columns else F.lit(None).alias(n) for n in names])
