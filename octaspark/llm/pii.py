@@ -69,6 +69,8 @@ CONTEXT = {
 }
 #: Characters before a span that the context labeler sees.
 BEFORE = 24
+#: Share of the candidates of a kind that must get another vote of a labeler than the rest for it to count in the estimation.
+TELLING = 0.01
 
 
 def scan(values: Column, join) -> Column:
@@ -179,8 +181,12 @@ def reliabilities(counts: list[tuple[tuple[int, ...], float]], sure: list[tuple[
 
     ``sure`` are patterns of spans that are true: they count for the vote chances, at most as much as all others, not for the share.
     """
-    post = [sum(v == 1 for v in p) / max(1, sum(v != 2 for v in p)) for p, _ in counts]
     total = sum(n for _, n in counts)
+    share = lambda k, v: sum(n for p, n in counts if p[k] == v) >= TELLING * total
+    # a labeler that votes the same on nearly all tells nothing; to begin with, those that say both yes and no decide
+    active = [k for k in range(len(VOTES)) if sum(share(k, v) for v in (0, 1, 2)) > 1] or list(range(len(VOTES)))
+    told = [k for k in active if share(k, 0) and share(k, 1)] or range(len(VOTES))
+    post = [sum(p[k] == 1 for k in told) / max(1, sum(p[k] != 2 for k in told)) for p, _ in counts]
     scale = min(1.0, total / max(1.0, sum(n for _, n in sure)))
     prior, tables = 0.5, []
     for _ in range(rounds):
@@ -201,7 +207,7 @@ def reliabilities(counts: list[tuple[tuple[int, ...], float]], sure: list[tuple[
             tables.append({v: (a / (no + 4), b / (yes + given + 4)) for v, (a, b) in own.items()})
         new = []
         for p, _ in counts:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(tables[k][v][1] / tables[k][v][0]) for k, v in enumerate(p))
+            odds = math.log(prior / (1 - prior)) + sum(math.log(tables[k][p[k]][1] / tables[k][p[k]][0]) for k in active)
             new.append(1 / (1 + math.exp(-max(-30, min(30, odds)))))
         if max((abs(a - b) for a, b in zip(post, new)), default=0) < 1e-6:
             break
