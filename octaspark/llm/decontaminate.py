@@ -6,12 +6,15 @@ a block is two words (one for patterns of one word), the shift table says how
 far a search may jump from a block, suffix-hash buckets list the patterns that
 end with the block, and every candidate is compared word by word.
 
-The benchmark is sent to the executors in parts of at most ``part_bytes``; a
-benchmark of several parts is searched part by part and the hits are merged,
-so its size has no limit.
+The benchmark is sent to the executors in parts of about ``part_bytes`` of
+text. Documents are scanned once, whatever the benchmark's size: each batch is
+searched for one part after another, and a worker holds the tables of one part
+only.
 
 Nulls: a null text has no words, a null item no windows. Repeated items count
-once by ``item_id``; repeated documents give repeated rows.
+once by ``item_id``; repeated documents give repeated rows, ties don't occur.
+Columns of any name come back as they were from :func:`clean`; from
+:func:`search` the results take the place of columns of the same names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, slices, strings, text_bytes
+from .shared import arrow_map, hide, show, slices, strings, text_bytes
 from .words import mix, words
 
 WIDTH = 8
@@ -112,17 +115,25 @@ def patterns(items: list[tuple[str, str | None]], width: int = WIDTH) -> list[Pa
 _RESULT = pa.schema([("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
-def _search(tables: list[Patterns], column: str, want_words: bool):
+def _tables(sent: list):
+    """The tables of each part; of several, a worker keeps none once it is done with it."""
+    for part in sent:
+        yield from part.value
+        if len(sent) > 1:
+            part.__dict__.pop("_value", None)  # is read again from the executor's copy when it is needed
+
+
+def _search(sent: list, keep_text: bool):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
-                texts = strings(part.column(part.schema.get_field_index(column)))
+            for part in slices(batch, "text"):
+                texts = strings(part.column(part.schema.get_field_index("text")))
                 buf, at = text_bytes(texts)
                 w = words(buf, at, True)
                 n = len(texts)
                 spans: list[list[int]] = [[] for _ in range(n)]
                 items: list[set[str]] = [set() for _ in range(n)]
-                for t in tables:
+                for t in _tables(sent):
                     end, which = t.search(w)
                     text = np.searchsorted(w.first, end, "right") - 1
                     for e, p, i in zip(end.tolist(), which.tolist(), text.tolist()):
@@ -130,7 +141,7 @@ def _search(tables: list[Patterns], column: str, want_words: bool):
                         if b" ".join(buf[w.start[k] : w.end[k]].tobytes().lower() for k in range(lo, e + 1)) == t.text[p]:
                             spans[i] += (lo - int(w.first[i]), t.m)
                             items[i].update(t.items[p])
-                keep = [c for c in part.schema.names if want_words or c != column]
+                keep = [c for c in part.schema.names if keep_text or c != "text"]
                 arrays = [part.column(part.schema.get_field_index(c)) for c in keep]
                 arrays += [pa.array(w.count, pa.int64()), pa.array(spans, _RESULT.field(1).type), pa.array([sorted(x) for x in items], _RESULT.field(2).type)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *_RESULT.names])
@@ -152,28 +163,13 @@ def _parts(benchmark: DataFrame, part_bytes: int):
 
 
 def _occurrences(docs: DataFrame, benchmark: DataFrame, width: int, part_bytes: int, keep_text: bool) -> DataFrame:
-    """What is kept of each document, n_words, hits (first word and number of words of each occurrence) and items."""
-    have = docs if keep_text else docs.select("doc_id", "text")
-    own = {"n_words", "hits", "items", "n_hit", "octa_row"}
-    if clash := own & set(have.columns):
-        have = have.drop(*clash)
-    spark = docs.sparkSession
+    """doc_id (or all columns, hidden), n_words, hits (first word and number of words of each occurrence) and items."""
+    have = hide(docs, "doc_id", "text") if keep_text else docs.select("doc_id", "text")
+    sc = docs.sparkSession.sparkContext
     kept = have.schema if keep_text else have.drop("text").schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_words long", "hits array<long>", "items array<string>"])
-    found = None
-    for part in _parts(benchmark, part_bytes):
-        tables = spark.sparkContext.broadcast(patterns(part, width))
-        one = arrow_map(have, lambda batches, t=tables: _search(t.value, "text", keep_text)(batches), schema)
-        found = one if found is None else found.unionByName(one)
-        parts = 1 if found is one else parts + 1
-    if found is None:
-        parts, found = 1, arrow_map(have, lambda batches: _search([], "text", keep_text)(batches), schema)
-    if parts > 1:  # one row for each part and document: merge them by the document's own columns
-        key = [c for c in kept.names]
-        n = F.count(F.lit(1)) / parts
-        found = found.groupBy(*key, "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), n.cast("int").alias("octa_row"))
-        found = found.withColumn("octa_row", F.explode(F.sequence(F.lit(1), "octa_row"))).drop("octa_row")
-    return found
+    sent = [sc.broadcast(patterns(part, width)) for part in _parts(benchmark, part_bytes)]
+    return arrow_map(have, lambda batches: _search(sent, keep_text)(batches), schema)
 
 
 def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_bytes: int = PART_BYTES, keep_text: bool = False) -> DataFrame:
@@ -181,7 +177,9 @@ def search(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_bytes
 
     ``keep_text`` keeps all columns of ``docs`` instead of doc_id alone.
     """
-    return _occurrences(docs, benchmark, width, part_bytes, keep_text).withColumn("n_hit", _union("hits")).drop("hits")
+    docs = docs.drop("n_words", "n_hit", "items") if keep_text else docs.select("doc_id", "text")
+    found = _occurrences(docs, benchmark, width, part_bytes, keep_text).withColumn("n_hit", _union("hits")).drop("hits")
+    return show(found, docs, "doc_id", "text") if keep_text else found
 
 
 def _union(spans: str):
@@ -218,4 +216,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_items:
     """
     found = _occurrences(docs, benchmark, width, part_bytes, True)
     leak = F.exists(F.sequence(F.lit(0), F.greatest(F.size("hits") / 2 - 1, F.lit(0)).cast("int")), lambda i: F.coalesce(F.get("hits", 2 * i + 1) >= width, F.lit(False)))
-    return found.filter(~leak & (F.size("items") < min_items)).select(docs.columns)
+    return show(found.filter(~leak & (F.size("items") < min_items)).drop("n_words", "hits", "items"), docs, "doc_id", "text")

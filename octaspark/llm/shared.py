@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 
-#: Rows of a key set that may be broadcast (about 16 MB of longs); larger sets are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of a key set that may be broadcast (a few MB); larger sets are joined by shuffle.
+BROADCAST_ROWS = 100_000
 #: Bytes of text that a Python worker turns into arrays at a time.
 SLICE_BYTES = 2 << 20
 #: Bytes of the batches that go to Python workers, for sessions that set no limit: Spark's own is a number of rows.

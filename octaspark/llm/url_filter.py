@@ -1,20 +1,23 @@
 """URL filters: all glob rules at once by a bit-parallel wildcard automaton (Shift-And).
 
 Every rule becomes a row of symbols, a bit each, packed one after another into
-64-bit words. A canonical URL is read symbol by symbol; per symbol, one shift,
+64-bit words. A canonical URL is read character by character (code points, not
+bytes); per character, one shift,
 one AND with the symbol's mask and one OR of the bits that may stay (wildcards)
 move every rule forward. URLs of a batch are simulated side by side.
 
 Canonical form: ``.`` + host, then a mark that no URL holds, then the path. A
 host rule such as ``example.net/en/`` is the glob ``*.example.net`` + mark +
 ``/en/*``, so it fits the host, its subdomains and paths that start so. A plain
-glob has ``*`` for any run of symbols and ``?`` for one, and is matched against
+glob has ``*`` for any run of characters and ``?`` for one, and is matched against
 ``host/path``, whole.
 
 Of the host rules that fit, the longest decides (of equally long ones, the one
 with the longer host, then the first); without any, a URL is blocked if a plain
 glob fits, else allowed. A null URL, or one without ``://``, has an empty host
-and path, so no host rule fits.
+and path, so no host rule fits. Repeated rows and null page_ids come back as they
+are, each with its own verdict; only page_id and url are read, whatever the other
+columns are. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,22 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, slices, strings, text_bytes
+from .shared import arrow_map, slices, strings
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: What is blocked where no rule fits.
 GLOBS = ("*/ads/*", "*/track?/*", "*.exe")
-#: Symbols: bytes, then the mark between host and path.
-MARK, ANY, ONE = 256, -1, -2
+#: Symbols: code points, then the mark between host and path.
+MARK, ANY, ONE = 0x110000, -1, -2
 
 
 def _glob(pattern: str) -> list[int]:
-    return [{"*": ANY, "?": ONE}.get(c) or b for c in pattern for b in ([0] if c in "*?" else c.encode())]
+    return [{"*": ANY, "?": ONE}.get(c, ord(c)) for c in pattern]
 
 
 def _host_glob(rule: str) -> list[int]:
     host, _, path = rule.partition("/")
-    return [ANY, *f".{host.lower()}".encode(), MARK, *f"/{path}".encode(), ANY]
+    return [ANY, *map(ord, f".{host.lower()}"), MARK, *map(ord, f"/{path}"), ANY]
 
 
 class Automaton:
@@ -59,9 +62,11 @@ class Automaton:
             self.last.append(places)
             places += 1
         self.words = max(1, -(-places // 64))
-        self.mask = np.zeros((257, self.words), np.uint64)
+        # a row of masks for each symbol that a pattern names, one for all others and one for the mark
+        self.named = np.array(sorted({c for _, c in steps if c not in (ONE, MARK)}), np.int64)
+        self.mask = np.zeros((len(self.named) + 2, self.words), np.uint64)
         for bit, c in steps:
-            rows = slice(0, 256) if c == ONE else c
+            rows = slice(0, -1) if c == ONE else -1 if c == MARK else int(np.searchsorted(self.named, c))
             self.mask[rows, bit // 64] |= np.uint64(1) << np.uint64(bit % 64)
         self.start, self.stay = self._bits(start), self._bits(stay)
 
@@ -71,9 +76,18 @@ class Automaton:
             out[b // 64] |= np.uint64(1) << np.uint64(b % 64)
         return out
 
+    def rows(self, symbols: np.ndarray) -> np.ndarray:
+        """The row of masks of each symbol."""
+        other = len(self.named)
+        at = np.searchsorted(self.named, symbols)
+        out = np.where((at < other) & (np.append(self.named, -1)[at] == symbols), at, other)
+        out[symbols == MARK] = other + 1
+        return out
+
     def run(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Which patterns match which rows whole; row i has symbols at[i] up to at[i + 1]."""
         size = np.diff(at)
+        symbols = self.rows(symbols)
         state = np.tile(self.start, (len(size), 1))
         order = np.argsort(-size, kind="stable")
         size, begin = size[order], at[:-1][order]
@@ -120,10 +134,11 @@ def _judge(rules, globs):
                 for machine, form in ((hosts, lambda h, p: (f".{h}", p)), (plain, lambda h, p: (h, p))):
                     marked = machine is hosts
                     texts = [form(h, p) for h, p in split]
-                    buf, at = text_bytes(pa.array([f"{h}\0{p}" if marked else h + p for h, p in texts], pa.string()))
-                    symbols = buf.astype(np.int64)
+                    joined = [f"{h}\0{p}" if marked else h + p for h, p in texts]
+                    at = np.cumsum([0, *map(len, joined)])
+                    symbols = np.frombuffer("".join(joined).encode("utf-32-le"), "<u4").astype(np.int64)
                     if marked:
-                        symbols[at[:-1] + np.array([len(h.encode()) for h, _ in texts], np.int64)] = MARK
+                        symbols[at[:-1] + np.array([len(h) for h, _ in texts], np.int64)] = MARK
                     found.append(machine.run(symbols, at))
                 fits, other = found
                 ruled = fits.any(1)
