@@ -10,24 +10,32 @@ letters cut into overlapping windows. A text's decision value is the largest
 of its windows (multiple-instance learning: one insult is enough).
 
 Training takes at most ``TRAIN_DOCS`` labelled documents, those with the least
-hashes of doc_id; everything else covers all rows:
-
-1. Words and word beginnings are counted by label in distinct contexts (the
-   word before), so copies of one text count once. Those that a binomial test,
-   corrected for the number of words tried, ties to label 1 are positive.
-2. Landmarks: positive words chosen farthest first in the kernel's metric, and
-   the negative words that are nearest to them. Features of a word are its
-   kernel values times the inverse square root of the landmarks' own matrix.
-3. A linear SVM (squared hinge) is trained on positive words, versions of them
-   with inserted letters, and negative words.
-4. The decision threshold is put where it splits the training documents best.
+hashes of doc_id; everything else covers all rows. Equal texts count once:
+
+1. Landmarks. For every word and word beginning the texts of either label that
+   hold it are counted. Candidates are those that label 1 holds more often than
+   label 0, and more often than chance explains (a binomial test, corrected for
+   the number of words tried), whether they also occur under label 0 or not; at
+   most ``FORMS`` for a beginning and ``POOL`` in all, those with the most
+   evidence. Up to ``POSITIVE_LANDMARKS`` are chosen one by one, those with the
+   most evidence times the distance to the chosen ones in the kernel's metric. Every training text is then reduced to the ``BAG`` windows
+   that are nearest to one of these; the ``NEGATIVE_LANDMARKS`` nearest windows
+   that are no more frequent under label 1 complete the landmarks. Features of a window are its kernel values times the
+   inverse square root of the landmarks' own matrix.
+2. The SVM (squared hinge) learns from the labelled texts: a text of label 0 has
+   all its windows on the lower side, a text of label 1 at least one, its
+   witness, on the upper side. Witnesses are chosen anew by each classifier
+   until they stay (MI-SVM). Versions of the witnesses with an inserted letter
+   take part. Every text weighs the same within its label, so wrong labels cost
+   a margin, not a word.
+3. The decision threshold is put where it splits the training texts best.
 
 A window without enough of some positive landmark's letter pairs in order (a
 share below ``REACH``) takes the value of a kernel of 0 without further work.
 
 Nulls: a null text is an empty one; it takes the base score. Labels that are
-null are ignored; of repeated labels the largest counts. Without a positive
-word (no labels, one class) every score is 0.
+null are ignored; of repeated labels the largest counts. Repeated rows get
+equal scores. Without candidates (no labels, one class) every score is 0.
 """
 
 from __future__ import annotations
@@ -35,14 +43,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, slices, small, strings
+from .shared import arrow_map, drop, hide, save, show, slices, strings
 
-TRAIN_DOCS, MAX_TERMS = 6_000, 60_000
+TRAIN_DOCS, POOL = 6_000, 400
 ORDER, DECAY, LONGEST = 3, 0.7, 20
 POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, REACH = 32, 16, 0.34
+#: Candidates with one strong beginning, and windows that a training text is reduced to.
+FORMS, BAG = 12, 12
+#: Rounds of choosing witnesses.
+ROUNDS = 10
 _LOOKS = str.maketrans("013457@$!", "oieastasi")
 #: Bytes of text whose distinct chunks are scored together.
 _SLICE = 8 << 20
@@ -234,68 +246,144 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str = "toxic", mos
 
 
 def _terms(rows: DataFrame) -> DataFrame:
-    """Words and beginnings with the numbers of contexts of either label."""
-    own = rows.select("label", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+").alias("w"))
-    follow = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda b, a: F.struct(a.alias("a"), b.alias("b")))
-    own = own.select("label", F.explode(follow).alias("p"))
-    own = own.select("label", F.col("p.a").alias("word"), F.col("p.b").alias("before")).filter(F.length("word").between(ORDER, LONGEST))
-    own = own.groupBy("word", "before").agg(F.max("label").alias("label"), F.min("label").alias("least"))
-    word = own.groupBy("word").agg(F.sum("label").cast("long").alias("a"), F.sum(1 - F.col("least")).cast("long").alias("b"))
-    forms = F.explode(F.array_distinct(F.array(F.struct(F.col("word").alias("term"), F.lit(True).alias("whole")), *[F.struct(F.substring("word", 1, n).alias("term"), F.lit(False).alias("whole")) for n in (4, 5)])))
-    return word.select(forms.alias("f"), "a", "b").groupBy("f.term", "f.whole").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = TRAIN_DOCS) -> Model:
-    """Train on the labelled documents; see the module's text. The driver gets at most MAX_TERMS words of each kind."""
-    rows = training_rows(docs, labels, target, most)
-    terms = _terms(rows).persist()
-    total = terms.filter("whole").agg(F.sum("a"), F.sum("b"), F.count(F.lit(1))).first()
-    empty = Model([], [], np.zeros(0), -1.0, 0.0, 8.0)
-    if not total[0] or not total[1]:
-        terms.unpersist()
-        return empty
-    share = total[0] / (total[0] + total[1])
-    n, rate = F.col("a") + F.col("b"), F.col("a") / (F.col("a") + F.col("b"))
+    """Words and beginnings with the numbers of texts of label 1 (a) and 0 (b) that hold them."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w).between(ORDER, LONGEST))
+    whole = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(True).alias("whole")))
+    begin = [F.transform(words, lambda w, n=n: F.struct(F.substring(w, 1, n).alias("term"), F.lit(False).alias("whole"))) for n in (4, 5)]
+    own = rows.select("label", F.explode(F.array_distinct(F.concat(whole, *begin))).alias("f"))
+    return own.groupBy("f.term", "f.whole").agg(F.sum("label").cast("long").alias("a"), F.sum(1 - F.col("label")).cast("long").alias("b"))
+
+
+def _candidates(rows: DataFrame, terms: DataFrame, pool: int = POOL) -> list[tuple[str, float]]:
+    """Words, and their evidence, that texts of label 1 hold more often than chance explains, themselves or by their beginnings, most evidence first."""
+    up, n = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
+    if not up or up == n:
+        return []
+    share = up / n
+    rate = F.col("a") / (F.col("a") + F.col("b"))
     miss = F.when(F.col("b") > 0, F.col("b") * F.log((1 - rate) / (1 - share))).otherwise(F.lit(0.0))
     evidence = F.when(rate > share, F.col("a") * F.log(rate / share) + miss).otherwise(F.lit(0.0))
-    strong = terms.withColumn("e", evidence).filter((F.col("e") > float(np.log(total[2]) + 3)) & (rate > 0.9))
-    strong = strong.orderBy(F.desc("e"), "term", "whole").limit(2000).collect()
-    stems = {r.term for r in strong if not r.whole}
-    hit = F.col("term").isin(sorted({r.term for r in strong if r.whole})) | F.substring("term", 1, 4).isin(sorted(s for s in stems if len(s) == 4)) | F.substring("term", 1, 5).isin(sorted(s for s in stems if len(s) == 5))
-    good = [r.term for r in terms.filter("whole").filter(hit & (F.col("b") == 0)).orderBy(F.desc("a"), "term").limit(4000).collect()]
-    bad = [r.term for r in terms.filter("whole AND b > 0").filter(rate <= max(0.5, share)).orderBy(F.desc("b"), "term").limit(MAX_TERMS).collect()]
-    terms.unpersist()
-    if not good or not bad:
-        return empty
-    # landmarks: farthest first, from the best known word on
-    pool = good[:400]
-    gram = normalized(pool, letters(pool, -1), _selfs(pool))
-    chosen, far = [0], 1 - gram[:, 0]
-    while len(chosen) < min(POSITIVE_LANDMARKS, len(pool)) and far.max() > 0.05:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, 1 - gram[:, chosen[-1]])
-    positive = [pool[i] for i in chosen]
-    close = Model(positive, [], np.ones(len(positive)), 0.0, 0.0, 1.0)
-    hard = [w for w, k in zip(bad, close.near(bad)) if k][:6000]
-    nearness = normalized(hard, close.marks, close.self).max(1) if hard else np.zeros(0)
-    negative = [hard[i] for i in np.argsort(-nearness, kind="stable")[:NEGATIVE_LANDMARKS]]
+    strong = terms.withColumn("e", evidence).filter((F.col("e") > float(np.log(terms.count() + 1) + 3)) & (rate > 0.5))
+    whole = strong.filter("whole").select(F.col("term").alias("word"), "e")
+    # words under label 1 that begin as a strong beginning does, the most frequent of each
+    begun = terms.filter("whole AND a > b").select(F.col("term").alias("word"), "a", F.explode(F.array(*[F.substring("term", 1, n) for n in (4, 5)])).alias("term"))
+    begun = begun.join(strong.filter("NOT whole").select("term", "e"), "term")
+    begun = begun.withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("a"), "word"))).filter(F.col("k") <= FORMS).select("word", "e")
+    found = whole.unionByName(begun).groupBy("word").agg(F.max("e").alias("e")).orderBy(F.desc("e"), "word").limit(pool)
+    return [(r.word, r.e) for r in found.collect()]
+
+
+def _nearest(marks: list[str], most: int):
+    """The ``most`` windows of each text that are nearest to a landmark."""
+
+    def run(batches):
+        near = Model(marks, [], np.zeros(len(marks)), 0.0, 0.0, 1.0)
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                texts = strings(part.column(part.schema.get_field_index("text"))).to_pylist()
+                known: dict[str, list[str]] = {}
+                own = []
+                for t in texts:
+                    chunks = t.split()
+                    found = set(_spelled(chunks))
+                    for c in set(chunks):
+                        if c not in known:
+                            known[c] = windows(c)
+                        found.update(known[c])
+                    own.append(found)
+                flat = sorted({w for o in own for w in o})
+                flat = [w for w, k in zip(flat, near.near(flat)) if k]
+                value = dict(zip(flat, normalized(flat, near.marks, near.self).max(1).tolist() if flat else []))
+                out = [sorted((w for w in o if w in value), key=lambda w: (-value[w], w))[:most] for o in own]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("label")), pa.array(out, pa.list_(pa.string()))], names=["label", "words"])
+
+    return run
+
+
+def _spelled(chunks: list[str]) -> list[str]:
+    """Windows of words that are spelled letter by letter."""
+    out, run = [], []
+    for c in [*chunks, "--"]:
+        if len(c) <= 2 and sum(x.isalnum() for x in c) == 1:
+            run.append(c)
+        else:
+            if len(run) >= 4:
+                out += windows("".join(run))
+            run = []
+    return out
+
+
+def _learn(bags: list[tuple[int, list[str]]], positive: list[str]) -> Model | None:
+    """The SVM of labelled bags of windows; see the module's text."""
+    bags = [(y, w) for y, w in bags if w]
+    words = sorted({x for _, w in bags for x in w})
+    place = {w: i for i, w in enumerate(words)}
+    label = np.array([y for y, _ in bags])
+    owner = np.repeat(np.arange(len(bags)), [len(w) for _, w in bags])
+    member = np.array([place[x] for _, w in bags for x in w], np.int64)
+    if not len(bags) or label.min() == label.max():
+        return None
+    up, down = int(label.sum()), int((1 - label).sum())
+    seen = [np.bincount(member[label[owner] == y], minlength=len(words)) for y in (0, 1)]
+    odds = np.log((seen[1] + 0.5) / (up + 1)) - np.log((seen[0] + 0.5) / (down + 1))
+    close = normalized(words, letters(positive, -1), _selfs(positive)).max(1)
+    plain = np.flatnonzero((odds <= 0) & (seen[0] > 1))
+    negative = [words[i] for i in plain[np.argsort(-close[plain], kind="stable")][:NEGATIVE_LANDMARKS]]
     marks = positive + negative
     own = normalized(marks, letters(marks, -1), _selfs(marks)).astype(np.float64)
     val, vec = np.linalg.eigh((own + own.T) / 2)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-3))) @ vec.T
+    features = lambda some: np.hstack([normalized(some, letters(marks, -1), _selfs(marks)) @ root, np.ones((len(some), 1))])
+    x = features(words)
     rng = np.random.default_rng(11)
-    inserted = [w[:i] + chr(97 + int(rng.integers(26))) + w[i:] for w in positive for i in rng.integers(1, len(w), 12)]
-    pos, neg = good + inserted, hard + bad[:2000]
-    raw = normalized(pos + neg, letters(marks, -1), _selfs(marks))
-    feats = raw @ root
-    nearest = raw[: len(pos), : len(positive)].argmax(1)
-    crowd = np.bincount(nearest, minlength=len(positive))[nearest]  # every landmark's words weigh the same together
-    x = np.hstack([feats, np.ones((len(feats), 1))])
-    y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-    cost = np.r_[1 / crowd / (1 / crowd).sum(), np.full(len(neg), 1 / len(neg))] * len(y) / 2
-    w = _svm(x, y, cost)
-    model = Model(positive, negative, root @ w[:-1], float(w[-1]), 0.0, 8.0)
+    low = np.bincount(member[label[owner] == 0], 1 / down / np.bincount(owner)[owner][label[owner] == 0], len(words))
+    value, before, w = odds, None, None
+    bag = np.flatnonzero(label == 1)
+    first = np.searchsorted(owner, np.arange(len(bags) + 1))
+    for _ in range(ROUNDS):
+        witness = np.array([member[first[b] : first[b + 1]][value[member[first[b] : first[b + 1]]].argmax()] for b in bag.tolist()])
+        if before is not None and (witness == before).all():
+            break
+        before = witness
+        high = np.bincount(witness, minlength=len(words)) / up
+        top = np.flatnonzero(high)
+        inserted = [(words[i][:k] + chr(97 + int(rng.integers(26))) + words[i][k:], high[i]) for i in top for k in rng.integers(1, max(2, len(words[i])), 2)]
+        rows = np.vstack([x[top], features([t for t, _ in inserted]), x[low > 0]])
+        y = np.r_[np.ones(len(top) + len(inserted)), -np.ones(int((low > 0).sum()))]
+        cost = np.r_[high[top] / 2, np.array([c for _, c in inserted]) / 4, low[low > 0]]
+        w = _svm(rows, y, cost * len(bags) / 2)
+        value = x @ w
+    return Model(positive, negative, root @ w[:-1], float(w[-1]), 0.0, 8.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = TRAIN_DOCS, pool: int = POOL) -> Model:
+    """Train on the labelled documents; see the module's text.
+
+    The driver gets ``pool`` words at most, and of each of at most ``most``
+    texts ``BAG`` windows.
+    """
+    spark = docs.sparkSession
+    rows, rows_at = save(training_rows(docs, labels, target, most).groupBy("text").agg(F.max("label").cast("int").alias("label")))
+    terms, terms_at = save(_terms(rows))
+    found = _candidates(rows, terms, pool)
+    words, weight = [w for w, _ in found], np.array([e for _, e in found])
+    empty = Model([], [], np.zeros(0), -1.0, 0.0, 8.0)
+    model = None
+    if words:
+        # landmarks: the most evidence times the distance to those chosen
+        gram = normalized(words, letters(words, -1), _selfs(words))
+        chosen, far = [0], 1 - gram[:, 0]
+        while len(chosen) < min(POSITIVE_LANDMARKS, len(words)) and far.max() > 0.05:
+            chosen.append(int((far * weight).argmax()))
+            far = np.minimum(far, 1 - gram[:, chosen[-1]])
+        positive = [words[i] for i in chosen]
+        bags = arrow_map(rows.select("label", "text"), _nearest(positive, BAG), "label int, words array<string>").collect()
+        model = _learn([(int(r.label > 0), r.words) for r in bags], positive)
+    if model is None:
+        drop(spark, rows_at, terms_at)
+        return empty
     seen = score(rows, model, keep=["label"]).select("label", "value").toPandas()
+    drop(spark, rows_at, terms_at)
     value, label = seen["value"].to_numpy(), seen["label"].to_numpy() > 0
     order = np.argsort(-value, kind="stable")
     value, label = value[order], label[order]
@@ -335,7 +423,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with the columns they came with."""
-    names = [c for c in docs.columns]
-    plain = docs.toDF(*[f"c{i}" if c in ("value", "score") else c for i, c in enumerate(names)])
-    return score(plain, fit(docs, labels), keep=plain.columns).filter("score < 0.5").select(plain.columns).toDF(*names)
+    """The documents that are not predicted toxic, with the columns they came with, whatever their names."""
+    plain = hide(docs, "doc_id", "text")
+    return show(score(plain, fit(docs, labels), keep=plain.columns).filter("score < 0.5").drop("value", "score"), docs, "doc_id", "text")
