@@ -158,11 +158,62 @@ def blocks(raw: Column, block: int = 128, step: int = 64) -> Column:
 
 
 def mask_charset(text: Column) -> Column:
-    """The token after charset= replaced by as many question marks."""
-    token = F.regexp_extract(text, r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", 1)
-    whole = F.regexp_extract(text, r"(?i)charset\s*=\s*[\"']?[A-Za-z0-9_.:-]+", 0)
-    at = F.instr(text, whole) + F.length(whole) - F.length(token)
-    return F.when(token == "", text).otherwise(F.overlay(text, F.repeat(F.lit("?"), F.length(token)), at))
+    """Every token after charset= replaced by as many question marks."""
+    return F.regexp_replace(text, r"(?i)(?<=charset\s{0,8}=\s{0,8}[\"']?[A-Za-z0-9_.:-]{0,63})[A-Za-z0-9_.:-]", "?")
+
+
+#: Byte machines of multi-byte encodings as patterns over the Latin-1 view: a whole character, and the beginnings of one.
+MACHINES = {
+    "utf-8": (
+        r"[\x{00}-\x{7F}]|[\x{C2}-\x{DF}][\x{80}-\x{BF}]|\x{E0}[\x{A0}-\x{BF}][\x{80}-\x{BF}]|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]{2}|\x{ED}[\x{80}-\x{9F}][\x{80}-\x{BF}]"
+        r"|\x{F0}[\x{90}-\x{BF}][\x{80}-\x{BF}]{2}|[\x{F1}-\x{F3}][\x{80}-\x{BF}]{3}|\x{F4}[\x{80}-\x{8F}][\x{80}-\x{BF}]{2}",
+        r"\x{F0}[\x{90}-\x{BF}][\x{80}-\x{BF}]?|[\x{F1}-\x{F3}][\x{80}-\x{BF}]{1,2}|\x{F4}[\x{80}-\x{8F}][\x{80}-\x{BF}]?|\x{E0}[\x{A0}-\x{BF}]|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]|\x{ED}[\x{80}-\x{9F}]|[\x{C2}-\x{F4}]",
+    ),
+    "shift-jis": (r"[\x{00}-\x{7F}\x{A1}-\x{DF}]|[\x{81}-\x{9F}\x{E0}-\x{FC}][\x{40}-\x{7E}\x{80}-\x{FC}]", r"[\x{81}-\x{9F}\x{E0}-\x{FC}]"),
+    "euc-jp": (r"[\x{00}-\x{7F}]|\x{8E}[\x{A1}-\x{DF}]|\x{8F}[\x{A1}-\x{FE}]{2}|[\x{A1}-\x{FE}]{2}", r"\x{8F}[\x{A1}-\x{FE}]?|\x{8E}|[\x{A1}-\x{FE}]"),
+    "big5": (r"[\x{00}-\x{7F}]|[\x{81}-\x{FE}][\x{40}-\x{7E}\x{A1}-\x{FE}]", r"[\x{81}-\x{FE}]"),
+    "gb18030": (r"[\x{00}-\x{7F}]|[\x{81}-\x{FE}](?:[\x{40}-\x{7E}\x{80}-\x{FE}]|[\x{30}-\x{39}][\x{81}-\x{FE}][\x{30}-\x{39}])", r"[\x{81}-\x{FE}](?:[\x{30}-\x{39}][\x{81}-\x{FE}]?)?"),
+}
+
+
+def machine(raw: Column, encoding: str) -> Column:
+    """struct<status, consumed>: valid, invalid or incomplete, and the bytes read until that was clear (for UTF-8, up to the character at fault)."""
+    unit, part = MACHINES[encoding]
+    view = latin1(raw)
+    whole = F.length(F.regexp_extract(view, f"^(?:{unit})*+", 0))
+    rest = F.length(F.regexp_extract(F.substr(view, whole + 1, F.length(view)), f"^(?:{part})", 0))
+    n = F.length(view)
+    status = F.when(whole + rest < n, "invalid").when(rest > 0, "incomplete").otherwise("valid")
+    return F.struct(status.alias("status"), (whole if encoding == "utf-8" else whole + rest).cast("long").alias("consumed"))
+
+
+def lossy_utf8(raw: Column) -> Column:
+    """struct<replaced, chars>: replacement characters, and all, of a lossy reading as UTF-8 (the longest beginning of a character counts once)."""
+    unit, part = MACHINES["utf-8"]
+    view = latin1(raw)
+    marked = F.regexp_replace(view, unit, "V")
+    wrong = F.regexp_count(marked, F.lit(rf"{part}|[\x{{80}}-\x{{FF}}]"))
+    right = F.length(marked) - F.length(F.replace(marked, F.lit("V"), F.lit("")))
+    given = F.regexp_count(view, F.lit("\u00ef\u00bf\u00bd"))
+    return F.struct((wrong + given).cast("long").alias("replaced"), (wrong + right).cast("long").alias("chars"))
+
+
+def trimmed(raw: Column) -> Column:
+    """The bytes without a UTF-8 character cut off at the end (three bytes at most); null if that doesn't help."""
+    out = F.lit(None).cast("binary")
+    for k in reversed(range(4)):
+        own = F.substr(raw, F.lit(1), F.greatest(F.length(raw) - k, F.lit(0)))
+        out = F.when(is_utf8(own), own).otherwise(out)
+    return out
+
+
+def source_group(stem: Column) -> Column:
+    """The group of a file stem: lower case, two collections under one name."""
+    return F.replace(F.replace(F.lower(stem), F.lit("culturax_mc4_"), F.lit("culturax_")), F.lit("culturax_oscar-2301_"), F.lit("culturax_"))
+
+
+def han_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[㐀-鿿]"))
 
 
 def meta_charset(raw: Column) -> Column:

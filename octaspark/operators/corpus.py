@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +78,25 @@ def content_fingerprint(manifest: DataFrame, order: str) -> DataFrame:
     return manifest.select(F.col(order).alias("o"), row.alias("d")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x["d"]), "").cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
 
 
+def numbered(df: DataFrame, order: str, by: str | None = None, place: str = "place", rows: int = 1 << 20) -> DataFrame:
+    """``df`` with each row's place from 0 in the given order (within each value of ``by``).
+
+    Two levels: rows are sorted into ranges, each range is numbered by itself,
+    and the counts of the ranges before are added. So neither one group nor the
+    whole table is sorted by one task.
+    """
+    first = [F.col(by), F.col(order)] if by else [F.col(order)]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *first).withColumn("octa_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    own = [F.col("octa_range"), *([F.col(by)] if by else [])]
+    counts = ranged.groupBy(*own).agg(F.count(F.lit(1)).alias("octa_n"))
+    before = Window.partitionBy(*([by] if by else [])).orderBy("octa_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = counts.withColumn("octa_base", F.coalesce(F.sum("octa_n").over(before), F.lit(0))).drop("octa_n")
+    keys = ["octa_range", *([by] if by else [])]
+    out = ranged.withColumn("octa_rank", F.row_number().over(Window.partitionBy(*own).orderBy(order))).join(F.broadcast(counts), keys)  # ranges (times groups) are few
+    return out.withColumn(place, F.col("octa_base") + F.col("octa_rank") - 1).select(*df.columns, place)
+
+
 def round_robin(df: DataFrame, strata: str, order: list[str], folds: int = 5) -> DataFrame:
     """Fold k mod ``folds`` for the k-th row of each stratum."""
     return df.withColumn("fold", (F.row_number().over(Window.partitionBy(strata).orderBy(*order)) - 1) % folds)
@@ -95,3 +115,66 @@ def catalog(lines: DataFrame) -> DataFrame:
     cells = F.split(F.regexp_replace(F.trim("text"), r"^\||\|$", ""), r"\|")
     row = own.filter(F.col("text").rlike(r"^\|\s*`")).withColumn("c", cells)
     return row.select(F.concat_ws("/", "dir", F.regexp_extract(F.col("c")[0], "`([^`]+)`", 1)).alias("path"), F.trim(F.col("c")[1]).alias("source"), F.trim(F.col("c")[2]).alias("provenance"))
+
+
+# Endings of folder names that tell a language, not an encoding.
+ISO_CODES = (
+    "ar be bg br cs cy da de el en eo es et fa fi fr ga gd he hr hu id is it ja kk ko lt lv mk ms mt nl no pl pt ro ru sk sl sr sv tg th tr uk ur vi zh"
+).split()
+LANGUAGES = (
+    "arabic belarusian breton bulgarian chinese croatian czech danish dutch english esperanto estonian farsi finnish french gaelic german greek hebrew "
+    "hungarian icelandic indonesian irish italian japanese kazakh korean latvian lithuanian macedonian malay maltese norwegian polish portuguese romanian "
+    "russian serbian slovak slovene spanish swedish tajik thai turkish ukrainian urdu vietnamese welsh"
+).split()
+
+
+def aliases(names: list[str]) -> dict[str, str]:
+    """Names that Python has a codec for, with the codec's own name."""
+    from .codecs import canonical
+
+    return {n: found for n in names if (found := canonical(n))}
+
+
+def directory_labels(dirs: DataFrame) -> DataFrame:
+    """(dir, label) of folders (dir) whose name, less a language's ending, is a codec; folders are few."""
+    names = [r.dir for r in dirs.distinct().collect()]
+    stems = {n: n.rpartition("-") for n in names}
+    known = aliases([*names, *(base for base, _, _ in stems.values())])
+    out = []
+    for n, (base, dash, end) in stems.items():
+        plain = n in ("None", "None-None", "ascii") or not dash
+        if label := known.get(base if not plain and (end in LANGUAGES or (end in ISO_CODES and base in known)) else n):
+            out.append((n, label))
+    return dirs.sparkSession.createDataFrame(out, "dir string, label string")
+
+
+def length_windows(df: DataFrame, column: str, sizes: tuple[int, ...] = (256, 4096), least: int = 32) -> DataFrame:
+    """Beginnings of each object by length, and the whole (size 0), cut back to whole UTF-8 characters; equal parts once, by doc_id and size."""
+    rows = df.select("*", F.explode(F.array(*[F.lit(s) for s in (*sizes, 0)])).alias("size"))
+    part = F.when(F.col("size") == 0, F.col(column)).otherwise(F.substr(F.col(column), F.lit(1), F.col("size")))
+    rows = rows.withColumn("part", F.when(F.length(part) < F.length(column), B.trimmed(part)).otherwise(F.when(B.is_utf8(part), part)))
+    rows = rows.filter(F.length("part") >= least).withColumn("sha256", F.sha2("part", 256))
+    return first_seen(rows.drop(column), ["sha256"], ["doc_id", "size"])
+
+
+def chunks(df: DataFrame, text: str, size: int = 1024, least: int = 128, non_ascii: int = 5) -> DataFrame:
+    """Pieces of ``size`` characters (k from 0) that are long enough and not plain ASCII."""
+    n = F.ceil(F.length(text) / size).cast("int")
+    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("k"))
+    rows = rows.withColumn("chunk", F.substr(F.col(text), F.col("k") * size + 1, F.lit(size)))
+    return rows.filter((F.length("chunk") >= least) & (F.length(F.regexp_replace("chunk", r"[\x00-\x7F]", "")) >= non_ascii))
+
+
+def historical_fingerprint(manifest: DataFrame, order: str) -> DataFrame:
+    """The digest of prefix digests, encodings and groups in order, each closed by a NUL; by its definition one row reads the manifest's short fields."""
+    line = F.concat(*[F.concat(F.col(x), F.lit("\x00")) for x in ("prefix_sha256", "encoding", "group")])
+    every = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
+    return manifest.agg(F.sha2(F.array_join(F.transform(every, lambda x: x["l"]), "").cast("binary"), 256).alias("fingerprint"))
+
+
+def canonical_fingerprint(manifest: DataFrame, order: str) -> DataFrame:
+    """The digest of the accepted rows as compact JSON with sorted keys, in order."""
+    line = F.to_json(F.struct("encoding", "group", "sha256", "split"))
+    every = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
+    text = F.concat(F.lit("["), F.array_join(F.transform(every, lambda x: x["l"]), ","), F.lit("]"))
+    return manifest.agg(F.sha2(text.cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))

@@ -66,3 +66,58 @@ def differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     both = left.alias("a").join(right.alias("b"), key, "full_outer")
     changed = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in fields]))
     return both.select(key, changed.alias("fields")).filter(F.size("fields") > 0)
+
+
+def changed(left: DataFrame, right: DataFrame, key: str, tolerance: float = 1e-9) -> DataFrame:
+    """(key, field) of everything that differs between a golden result and a new one; numbers may differ by ``tolerance``, a missing row is the field ``*``."""
+    fields = [f for f in left.columns if f != key]
+    kinds = dict(left.dtypes)
+    a, b = left.withColumn("octa_a", F.lit(True)).alias("a"), right.withColumn("octa_b", F.lit(True)).alias("b")
+    both = a.join(b, key, "full_outer")
+
+    def differs(f: str):
+        x, y = F.col(f"a.{f}"), F.col(f"b.{f}")
+        return ~x.eqNullSafe(y) & ~F.coalesce(F.abs(x - y) <= tolerance, F.lit(False)) if kinds[f] in ("double", "float") else ~x.eqNullSafe(y)
+
+    lost = F.col("octa_a").isNull() | F.col("octa_b").isNull()
+    every = F.when(lost, F.array(F.lit("*"))).otherwise(F.array_compact(F.array(*[F.when(differs(f), F.lit(f)) for f in fields])))
+    return both.select(key, F.explode(every).alias("field"))
+
+
+def tensor_differences(df: DataFrame, old: str, new: str, by: list[str] | None = None) -> DataFrame:
+    """Counts of changes by size, sign flips, and the largest, mean and root mean square difference."""
+    d = F.abs(F.col(old) - F.col(new))
+    return df.groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(old) != F.col(new)).alias("changed"), F.count_if(d > 1e-6).alias("above_1e6"), F.count_if(d > 1e-4).alias("above_1e4"),
+        F.count_if(d > 1e-2).alias("above_1e2"), F.count_if(F.signum(F.col(old)) != F.signum(F.col(new))).alias("flips"),
+        F.max(d).alias("largest"), F.avg(d).alias("mean"), F.sqrt(F.avg(d * d)).alias("rms"),
+    )
+
+
+def mode(df: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """The most frequent value of each group; of equally frequent ones the first seen. Counted before it is shuffled."""
+    per = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    return per.groupBy(by).agg(F.max_by(F.struct(value, "n"), F.struct("n", -F.col("first"))).alias("m")).select(by, F.col(f"m.{value}").alias("mode"), "m.n")
+
+
+def outcome(accepted, correct):
+    """correct, silent_wrong or abstained."""
+    return F.when(~F.coalesce(accepted, F.lit(False)), "abstained").when(F.coalesce(correct, F.lit(False)), "correct").otherwise("silent_wrong")
+
+
+def argmax(values):
+    """The place (from 0) of an array's largest value, the first among equals; null for an empty one."""
+    return F.when(F.size(values) > 0, F.array_position(values, F.array_max(values)) - 1)
+
+
+def softmax(df: DataFrame, by: str, score: str) -> DataFrame:
+    """``df`` with p, the share of exp(score) in its group, shifted by the group's largest score."""
+    own = Window.partitionBy(by)
+    e = F.exp(F.col(score) - F.max(score).over(own))
+    return df.withColumn("octa_e", e).withColumn("p", F.col("octa_e") / F.sum("octa_e").over(own)).drop("octa_e")
+
+
+def replay(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(fact, expected, actual) of all facts (fact, value) that differ or are missing on a side: a gate passes if there are none."""
+    both = expected.withColumnRenamed("value", "expected").join(actual.withColumnRenamed("value", "actual"), "fact", "full_outer")
+    return both.filter(~F.col("expected").eqNullSafe(F.col("actual"))).select("fact", "expected", "actual")

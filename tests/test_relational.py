@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from octaspark.operators import corpus, evaluate, html
-from octaspark.plans import catalogue
+from octaspark.plans import audit as catalogue
 
 DATA = "/root/testdata/sf0.001"
 
@@ -58,10 +58,21 @@ def test_percentiles_of_ten(spark):
 
 def test_html_precedence():
     page = b'<!-- <meta charset=koi8-r> --><script>"<meta charset=gbk>"</script><meta charset="windows-1251"><p>\xcf'
-    assert html.resolve(page)["encoding"] == "cp1251" and html.resolve(page)["source"] == "meta"
+    assert html.resolve(page)["encoding"] == "windows-1251" and html.resolve(page)["source"] == "meta"
     assert html.resolve(page, "text/html; charset=gbk")["source"] == "transport"
     assert html.resolve(page, override="koi8-r")["source"] == "override"
-    assert html.resolve(b"\xef\xbb\xbf" + page)["encoding"] == "utf-8-sig"
+    assert html.resolve(b"\xef\xbb\xbf" + page)["encoding"] == "utf-8"
     assert html.resolve(b"plain")["source"] == "fallback"
-    with pytest.raises(ValueError):
-        html.http_charset("text/html\r\nx")
+    assert html.resolve(page, "text/html; charset=utf-16")["encoding"] == "utf-8" and html.resolve(b"x", override="UTF-16")["encoding"] == "utf-16le"
+    assert html.resolve(b"plain")["warning"] == html.resolve(page)["warning"] == html.CAVEAT and html.resolve(page, override="gbk")["warning"] is None
+    for bad in (lambda: html.http_charset("text/html\r\nx"), lambda: html.resolve(page, override="no-such-label")):
+        with pytest.raises(ValueError):
+            bad()
+    assert all(bytes(range(65, 91)).decode(html.codec_of(name)) == "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for name in set(html.WEB.values()) if not name.startswith("utf-16"))
+    assert len(html.WEB) > 200 and html.web_label(" Latin5 ") == "windows-1254" and html.web_label("iso_8859-15") == "iso-8859-15"
+
+
+def test_bad_rows_say_why(spark):
+    rows = [(1, b"<meta charset=koi8-r>", None, None), (2, b"x", "text/html\nx", None), (3, b"x", None, "nope"), (4, None, "text/html; charset=gbk", None)]
+    got = {r.id: r for r in html.decode_html(spark.createDataFrame(rows, "id int, raw binary, header string, own string"), transport="header", override="own").collect()}
+    assert (got[1].encoding, got[1].error) == ("koi8-r", None) and got[2].error and got[3].error and got[4].encoding == "gbk"
