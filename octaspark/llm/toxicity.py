@@ -53,6 +53,8 @@ ORDER, DECAY, LONGEST = 3, 0.7, 20
 POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, REACH = 32, 16, 0.34
 #: Candidates with one strong beginning, and windows that a training text is reduced to.
 FORMS, BAG = 12, 12
+#: Words whose values a worker remembers; when there are more, it begins anew.
+KNOWN = 200_000
 #: Rounds of choosing witnesses.
 ROUNDS = 10
 _LOOKS = str.maketrans("013457@$!", "oieastasi")
@@ -111,6 +113,7 @@ class Model:
 
     def __init__(self, positive: list[str], negative: list[str], weights: np.ndarray, bias: float, threshold: float, slope: float):
         self.words, self.weights, self.bias, self.threshold, self.slope = positive + negative, weights, bias, threshold, slope
+        self.known: dict[str, float] = {}  # what a worker has computed already
         self.marks = letters(self.words, -1) if self.words else np.zeros((0, ORDER), np.int32)
         self.self = _selfs(self.words)
         # bits: the adjacent letter pairs of the positive landmarks
@@ -149,9 +152,17 @@ class Model:
         """Decision values of words."""
         out = np.full(len(words), self.bias, np.float64)
         if some := np.flatnonzero(self.near(words)).tolist():
-            out[some] += normalized([words[i] for i in some], self.marks, self.self) @ self.weights
+            fresh = [words[i] for i in some if words[i] not in self.known]
+            if len(self.known) + len(fresh) > KNOWN:
+                self.known, fresh = {}, [words[i] for i in some]
+            if fresh:
+                self.known.update(zip(fresh, (normalized(fresh, self.marks, self.self) @ self.weights).tolist()))
+            out[some] += np.fromiter((self.known[words[i]] for i in some), np.float64, len(some))
         return out
 
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
     def score(self, value: np.ndarray) -> np.ndarray:
         if not self.words:
             return np.zeros(len(value))
@@ -247,11 +258,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str = "toxic", mos
 
 def _terms(rows: DataFrame) -> DataFrame:
     """Words and beginnings with the numbers of texts of label 1 (a) and 0 (b) that hold them."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w).between(ORDER, LONGEST))
-    whole = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(True).alias("whole")))
-    begin = [F.transform(words, lambda w, n=n: F.struct(F.substring(w, 1, n).alias("term"), F.lit(False).alias("whole"))) for n in (4, 5)]
-    own = rows.select("label", F.explode(F.array_distinct(F.concat(whole, *begin))).alias("f"))
-    return own.groupBy("f.term", "f.whole").agg(F.sum("label").cast("long").alias("a"), F.sum(1 - F.col("label")).cast("long").alias("b"))
+    words = F.filter(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")), lambda w: F.length(w).between(ORDER, LONGEST))
+    # distinct beginnings of each length; the length tells them from words
+    begin = [F.transform(F.array_distinct(F.transform(words, lambda w, n=n: F.substring(w, 1, n))), lambda t, n=n: F.struct(t.alias("term"), F.lit(n).alias("cut"))) for n in (4, 5)]
+    whole = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(0).alias("cut")))
+    own = rows.select("label", F.explode(F.concat(whole, *begin)).alias("f"))
+    own = own.groupBy("f.term", "f.cut").agg(F.sum("label").cast("long").alias("a"), F.sum(1 - F.col("label")).cast("long").alias("b"))
+    return own.withColumn("whole", F.col("cut") == 0).filter((F.col("cut") == 0) | (F.length("term") == F.col("cut")))
 
 
 def _candidates(rows: DataFrame, terms: DataFrame, pool: int = POOL) -> list[tuple[str, float]]:
