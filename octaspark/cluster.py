@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -24,3 +25,20 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         sc._octaspark_shipped = True
     return spark
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder that ``spark.checkpoint.dir`` names, and read again; in local mode a temporary one serves if it is unset."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        have = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = have.get() if have.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="octaspark-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/octaspark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

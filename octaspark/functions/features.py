@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -112,6 +113,31 @@ def row_ngrams(df: DataFrame, key: str, low: int = 2, high: int = 3, column: str
     return arrow(df.select(key, F.col(column).cast("binary")), run, f"`{key}` {kind}, gram string, tf long")
 
 
+def tfidf_top(df: DataFrame, key: str, vocab: DataFrame, docs: int, top: int, low: int = 2, high: int = 3, column: str = "raw") -> DataFrame:
+    """(key, gram, w): the ``top`` n-grams of every row by TF-IDF, normalized over the vocabulary (gram, df), which is bounded and sent to the executors."""
+    known = sorted((int(ngram_codes(r.gram, len(r.gram), len(r.gram))[0]), math.log((1 + docs) / (1 + r.df)) + 1, r.gram) for r in vocab.collect())
+    sent = df.sparkSession.sparkContext.broadcast((np.array([k for k, _, _ in known], np.int64), np.array([v for _, v, _ in known]), [g for _, _, g in known]))
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        codes, weight, names = sent.value
+        for batch in batches:
+            rows = []
+            for k, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                code, n = np.unique(ngram_codes(view(r or b""), low, high), return_counts=True)
+                at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
+                hit = codes[at] == code if len(codes) else np.zeros(len(code), bool)
+                at, x = at[hit], (1 + np.log(n[hit])) * weight[at[hit]]
+                if len(x):
+                    x = np.round(x / math.sqrt(float((x * x).sum())), 6)
+                    some = np.flatnonzero(x >= np.partition(x, -min(top, len(x)))[-min(top, len(x))]).tolist()
+                    rows += [(k, names[at[i]], float(x[i])) for i in sorted(some, key=lambda i: (-x[i], names[at[i]]))[:top]]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], names=[key, "gram", "w"])
+
+    return arrow(df.select(key, F.col(column).cast("binary")), run, f"`{key}` {kind}, gram string, w double")
+
+
 def vocabulary(counts: DataFrame, min_df: int = 2, most: int = 45_000) -> DataFrame:
     """(idx, gram, df, cf): the most frequent n-grams, numbered in the order of their text."""
     top = counts.filter(F.col("df") >= min_df).orderBy(F.desc("cf"), "gram").limit(most)
@@ -148,3 +174,17 @@ def row_trigrams(df: DataFrame, key: str, column: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=[key, "gram", "tf"])
 
     return arrow(df.select(key, column), run, f"`{key}` {kind}, gram string, tf long")
+
+
+def trigram_counts(df: DataFrame, column: str = "text") -> DataFrame:
+    """(gram, n) over all texts; counted by batch before anything is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            own: dict[str, int] = {}
+            for t in batch.column(0).to_pylist():
+                for g in trigrams(t or ""):
+                    own[g] = own.get(g, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], names=["gram", "n"])
+
+    return arrow(df.select(column), run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import saved
 from ..functions import bytesql as B
 from ..schemas import OVERLAP, PREFIX, RESIDUAL
 
@@ -36,21 +36,27 @@ def windows(df: DataFrame, column: str, size: int = 8192, least: int = 128) -> D
 def overlap(held: DataFrame, training: DataFrame, key: str, column: str, shared: int = OVERLAP["shared"]) -> DataFrame:
     """(key, other, n): pairs of a held-out and a training object that share blocks, ``shared`` or more of them.
 
-    Blocks that occur on one side only are dropped before the join by a semi-join on hashes.
+    Equal objects are joined once: each side is first reduced to its distinct
+    sets of blocks, and pairs are told for the copies only at the end.
     """
-    one = held.select(F.col(key), F.explode(B.blocks(F.col(column), OVERLAP["block"], OVERLAP["step"])).alias("h"))
-    two = training.select(F.col(key).alias("other"), F.explode(B.blocks(F.col(column), OVERLAP["block"], OVERLAP["step"])).alias("h"))
-    return one.join(two, "h").groupBy(key, "other").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= shared)
+    sides = []
+    for df, name in ((held, key), (training, "other")):
+        blocks = F.array_sort(B.blocks(F.col(column), OVERLAP["block"], OVERLAP["step"]))
+        sides.append(df.select(F.col(key).alias(name), blocks.alias("b")).filter(F.size("b") >= shared).withColumn("set", F.xxhash64(F.col("b"), F.size("b"))))
+    one, two = (s.groupBy("set").agg(F.any_value("b").alias("b")).select(F.col("set").alias(n), F.explode("b").alias("h")) for s, n in zip(sides, ("x", "y")))
+    alike = one.join(two, "h").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= shared)
+    return alike.join(sides[0].select(key, F.col("set").alias("x")), "x").join(sides[1].select("other", F.col("set").alias("y")), "y").select(key, "other", "n")
 
 
 def residual(df: DataFrame, label: str, guess: str, order: str, drop: float = RESIDUAL["drop"], anchors: int = RESIDUAL["anchors"]) -> DataFrame:
     """Rows that structure doesn't already decide: right guesses go, in order, up to a share of each label."""
-    own = Window.partitionBy(label)
     hit = F.coalesce(F.col(guess) == F.col(label), F.lit(False))
-    n = F.count(F.lit(1)).over(own)
-    limit = F.least(n - anchors, F.floor(n.cast("double") * F.lit(float(drop))))
-    run = F.sum(hit.cast("int")).over(own.orderBy(order))
-    return df.withColumn("hit", hit).withColumn("limit", limit).withColumn("run", run).filter(~F.col("hit") | (F.col("run") > F.col("limit"))).drop("hit", "limit", "run")
+    size = df.groupBy(label).agg(F.count(F.lit(1)).alias("octa_n"))
+    limit = F.least(F.col("octa_n") - anchors, F.floor(F.col("octa_n").cast("double") * F.lit(float(drop))))
+    # only the keys of right guesses are numbered; those beyond the limit stay
+    place = numbered(df.filter(hit).select(label, order), order, label, "octa_place").join(size.select(label, limit.alias("octa_limit")), label)
+    gone = place.filter(F.col("octa_place") < F.col("octa_limit")).select(label, order)
+    return df.join(gone, [label, order], "left_anti")
 
 
 def structural_guess(raw: Column) -> Column:
@@ -78,28 +84,29 @@ def content_fingerprint(manifest: DataFrame, order: str) -> DataFrame:
     return manifest.select(F.col(order).alias("o"), row.alias("d")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x["d"]), "").cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
 
 
-def numbered(df: DataFrame, order: str, by: str | None = None, place: str = "place", rows: int = 1 << 20) -> DataFrame:
-    """``df`` with each row's place from 0 in the given order (within each value of ``by``).
+def numbered(df: DataFrame, order: str, by: str | None = None, place: str = "place", weight: str | None = None) -> DataFrame:
+    """``df`` with each row's place from 0 in the given order (within each value of ``by``), or the sum of ``weight`` before it.
 
     Two levels: rows are sorted into ranges, each range is numbered by itself,
-    and the counts of the ranges before are added. So neither one group nor the
-    whole table is sorted by one task.
+    and what the ranges before hold is added. So neither one group nor the
+    whole table is sorted by one task. Keep wide columns out: rows are written once.
     """
-    first = [F.col(by), F.col(order)] if by else [F.col(order)]
+    one = F.col(weight) if weight else F.lit(1)
+    key = [by] if by else []
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *first).withColumn("octa_range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    own = [F.col("octa_range"), *([F.col(by)] if by else [])]
-    counts = ranged.groupBy(*own).agg(F.count(F.lit(1)).alias("octa_n"))
-    before = Window.partitionBy(*([by] if by else [])).orderBy("octa_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    counts = counts.withColumn("octa_base", F.coalesce(F.sum("octa_n").over(before), F.lit(0))).drop("octa_n")
-    keys = ["octa_range", *([by] if by else [])]
-    out = ranged.withColumn("octa_rank", F.row_number().over(Window.partitionBy(*own).orderBy(order))).join(F.broadcast(counts), keys)  # ranges (times groups) are few
-    return out.withColumn(place, F.col("octa_base") + F.col("octa_rank") - 1).select(*df.columns, place)
-
-
-def round_robin(df: DataFrame, strata: str, order: list[str], folds: int = 5) -> DataFrame:
-    """Fold k mod ``folds`` for the k-th row of each stratum."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(strata).orderBy(*order)) - 1) % folds)
+    ranged = saved(df.repartitionByRange(parts, *key, order).withColumn("octa_range", F.spark_partition_id()))
+    totals = ranged.groupBy("octa_range", *key).agg(F.sum(one).alias("octa_n"))
+    before = Window.partitionBy(*key).orderBy("octa_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and group
+    totals = totals.select("octa_range", *key, F.coalesce(F.sum("octa_n").over(before), F.lit(0)).alias("octa_base"))
+    own = Window.partitionBy("octa_range", *key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("octa_own", F.coalesce(F.sum(one).over(own), F.lit(0))).join(totals, ["octa_range", *key])
+    return out.withColumn(place, F.col("octa_base") + F.col("octa_own")).select(*df.columns, place)
+
+
+def round_robin(df: DataFrame, strata: str, group: str, folds: int = 5) -> DataFrame:
+    """``df`` with the fold of its group: the k-th group of each stratum goes to fold k mod ``folds``, whole."""
+    groups = numbered(df.select(strata, group).distinct(), group, strata, "fold")
+    return df.join(groups.withColumn("fold", (F.col("fold") % folds).cast("int")), [strata, group])
 
 
 def balanced_sample(df: DataFrame, by: str, key: Column, n: int = 8) -> DataFrame:

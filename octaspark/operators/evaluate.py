@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .corpus import numbered
+
 
 def paired(df: DataFrame, by: list[str], old: str, new: str) -> DataFrame:
     """Counts of rows that the new rule helps, harms or leaves."""
@@ -25,13 +27,15 @@ def percentiles(df: DataFrame, by: str, value: str) -> DataFrame:
     """Median (mean of the middle two) and the floor-index 95th percentile, exactly.
 
     Values are counted first, so what a group needs is its distinct values with
-    counts, and ranks come from running sums over those.
+    counts; running sums come range by range, and the rows at the wanted ranks
+    are picked by comparison.
     """
     own = df.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by).orderBy(value)
-    own = own.withColumn("to", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
-    at = lambda k: F.min(F.when(F.col("to") > k, F.col(value)))
+    own = numbered(own, value, by, "from", "c").withColumn("to", F.col("from") + F.col("c"))
+    size = own.groupBy(by).agg(F.sum("c").alias("n"))
+    own = own.join(size, by)
     n = F.col("n")
+    at = lambda k: F.max(F.when((F.col("from") <= k) & (F.col("to") > k), F.col(value)))
     return own.groupBy(by, "n").agg(
         ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"),
         at(F.floor(F.lit(0.95) * (n - 1).cast("double"))).alias("p95"),

@@ -208,17 +208,14 @@ def q19_idf(spark, sf_dir):
     return X.ngram_counts(rows).filter("df >= 2").crossJoin(F.broadcast(n)).select("gram", F.round(X.idf(F.col("df"), F.col("docs")), 6).alias("idf"))
 
 
-@query(f"""WITH {_VIEW}, x AS (SELECT doc_id, gram, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM g JOIN c USING (gram) WHERE df >= 2),
+@query(f"""WITH {_VIEW}, k AS (SELECT gram, df FROM c WHERE df >= 2 ORDER BY cf DESC, gram LIMIT 45000), x AS (SELECT doc_id, gram, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM g JOIN k USING (gram)),
 y AS (SELECT doc_id, gram, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS w FROM x)
 SELECT doc_id, gram, w FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, gram) AS r FROM y) WHERE r <= 5""")
 def q20_tfidf_l2norm(spark, sf_dir):
+    """Weighed and normalized where the n-grams are counted, with the bounded vocabulary sent out: nothing is shuffled by document or n-gram pair."""
     rows = raws(spark, sf_dir)
-    n = rows.agg(F.count(F.lit(1)).alias("docs"))
-    idf = X.ngram_counts(rows).filter("df >= 2").crossJoin(F.broadcast(n)).select("gram", X.idf(F.col("df"), F.col("docs")).alias("idf"))
-    w = X.row_ngrams(rows, "doc_id").join(idf, "gram").select("doc_id", "gram", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    own = Window.partitionBy("doc_id")
-    w = w.withColumn("w", F.round(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)), 6))
-    return w.withColumn("r", F.row_number().over(own.orderBy(F.desc("w"), "gram"))).filter("r <= 5").select("doc_id", "gram", "w")
+    vocabulary = X.vocabulary(X.ngram_counts(rows)).select("gram", "df")
+    return X.tfidf_top(rows, "doc_id", vocabulary, rows.count(), 5)
 
 
 _PAIRS = f"(SELECT unnest(list_zip(l[:-2], l[2:])) AS p FROM (SELECT {{0}} AS l FROM documents) WHERE len(l) > 1)"
@@ -260,7 +257,7 @@ _TRI = "t AS (SELECT doc_id, lang, regexp_replace(replace(lower(substr(coalesce(
 
 
 def _trigram_counts(spark, sf_dir):
-    return X.row_trigrams(table(spark, sf_dir, "documents"), "doc_id").groupBy("gram").agg(F.sum("tf").alias("n"))
+    return X.trigram_counts(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {_TRI} SELECT gram, CAST(sum(tf) AS BIGINT) AS n FROM g GROUP BY gram")
@@ -307,12 +304,8 @@ def q30_language_topk(spark, sf_dir):
 @query(f"""WITH {_TRI}, k AS (SELECT gram, CAST(sum(tf) AS BIGINT) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 30000), z AS (SELECT ln(sum(n) + 0.5 * (count(*) + 1)) AS total FROM k)
 SELECT doc_id, round(sum(tf * (ln(coalesce(n, 0) + 0.5) - total)) / sum(tf), 6) AS score FROM g LEFT JOIN k USING (gram) CROSS JOIN z GROUP BY doc_id HAVING sum(tf) >= 12""")
 def q31_language_score(spark, sf_dir):
-    own = X.row_trigrams(table(spark, sf_dir, "documents"), "doc_id")
-    top = own.groupBy("gram").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "gram").limit(30_000)
-    total = top.agg(F.log(F.sum("n") + 0.5 * (F.count(F.lit(1)) + 1)).alias("total"))
-    rows = own.join(F.broadcast(top), "gram", "left").crossJoin(F.broadcast(total))  # the model has 30,000 rows at most
-    s = F.sum(F.col("tf") * (F.log(F.coalesce("n", F.lit(0)) + 0.5) - F.col("total"))) / F.sum("tf")
-    return rows.groupBy("doc_id").agg(F.round(s, 6).alias("score"), F.sum("tf").alias("c")).filter("c >= 12").drop("c")
+    docs = table(spark, sf_dir, "documents")
+    return model.language_scores(docs, model.fit_language(X.trigram_counts(docs)), "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("""WITH v AS (SELECT doc_id, label, CASE WHEN label = 'utf-8' THEN NULL ELSE label END AS guess FROM documents, (VALUES ('utf-8'), ('utf-8-sig'), ('utf-16')) t(label)),
@@ -320,7 +313,7 @@ w AS (SELECT *, coalesce(guess = label, false) AS hit, least(count(*) OVER (PART
 sum(CASE WHEN guess = label THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY doc_id) AS run FROM v) SELECT doc_id, label FROM w WHERE NOT hit OR run > lim""")
 def q32_residual_selection(spark, sf_dir):
     rows = variants.unicode_variants(table(spark, sf_dir, "documents")).filter(F.col("label").isin("utf-8", "utf-8-sig", "utf-16"))
-    return corpus.residual(rows.withColumn("guess", corpus.structural_guess(F.col("raw"))), "label", "guess", "doc_id").select("doc_id", "label")
+    return corpus.residual(rows.select("doc_id", "label", corpus.structural_guess(F.col("raw")).alias("guess")), "label", "guess", "doc_id").select("doc_id", "label")
 
 
 _MANIFEST = "SELECT CASE WHEN doc_id % 97 = 0 THEN '../' ELSE 'c/' END || doc_id AS path, lang AS encoding, CASE WHEN doc_id % 101 = 0 THEN 'dev' WHEN source < 'src3' THEN 'validation' ELSE 'train' END AS split, CASE WHEN doc_id % 103 = 0 THEN '' ELSE source END AS grp, sha256(encode(coalesce(text, ''))) AS sha FROM documents"
@@ -382,9 +375,9 @@ def q38_macro_average(spark, sf_dir):
     return evaluate.macro(_eval(spark, sf_dir), "source", "old_ok")
 
 
-@query("SELECT doc_id, source, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 5 AS INTEGER) AS fold FROM documents")
+@query("SELECT doc_id, lang, source, fold FROM documents JOIN (SELECT lang, source, CAST((row_number() OVER (PARTITION BY lang ORDER BY source) - 1) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT lang, source FROM documents)) USING (lang, source)")
 def q39_stratified_round_robin(spark, sf_dir):
-    return corpus.round_robin(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"])
+    return corpus.round_robin(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", "source").select("doc_id", "lang", "source", "fold")
 
 
 @query("SELECT lang, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('20261015:' || doc_id)) AS rank FROM documents) WHERE rank <= 8")
@@ -396,7 +389,7 @@ def q40_balanced_hash_sample(spark, sf_dir):
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents) WHERE k % 12 = 0")
 def q41_stride_sample(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).filter("k % 12 = 0").select("doc_id")
+    return corpus.numbered(rows, "doc_id", "lang").filter("place % 12 = 0").select("doc_id")
 
 
 @query(f"""WITH {_TRI}, a AS (SELECT gram, CAST(sum(tf) AS BIGINT) AS n FROM g WHERE lang = 'en' GROUP BY 1), b AS (SELECT gram, CAST(sum(tf) AS BIGINT) AS n FROM g WHERE lang <> 'en' GROUP BY 1)
@@ -464,9 +457,11 @@ def q49_mismatch_kind(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(evaluate.mismatch(got, t).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _model(rows: DataFrame):
-    """A model of the given rows; the sample that it is fitted on is bounded."""
-    return model.fit_linear(rows.select("raw", F.col("label").alias("encoding")).dropDuplicates(["raw"]), most=1500, epochs=6)
+def _model(docs: DataFrame, labels: tuple[str, ...], most: int = 1500):
+    """A model of a bounded sample: the documents with the least hashes, re-encoded; no other bytes are moved."""
+    some = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(-(-most // len(labels)))
+    rows = variants.codec_variants(some.select("doc_id", "text"), labels)
+    return model.fit_linear(rows.select("raw", F.col("label").alias("encoding")).dropDuplicates(["raw"]), most=most, epochs=6)
 
 
 _DETECT_LABELS = ("utf-8", "utf-8-sig", "utf-16-le", "utf-16-be", "utf-32-le", "cp1252", "cp437", "mac_roman")
@@ -474,8 +469,8 @@ _DETECT_LABELS = ("utf-8", "utf-8-sig", "utf-16-le", "utf-16-be", "utf-32-le", "
 
 @query()
 def q50_detect_end_to_end(spark, sf_dir):
-    rows = variants.codec_variants(table(spark, sf_dir, "documents"), _DETECT_LABELS)
-    found = detect.detect(rows, _model(rows)).select("doc_id", "label", "detection.*")
+    docs = table(spark, sf_dir, "documents")
+    found = detect.detect(variants.codec_variants(docs, _DETECT_LABELS), _model(docs, _DETECT_LABELS)).select("doc_id", "label", "detection.*")
     return found.select("doc_id", "label", "encoding", "candidates", "bom_encoding", "bom_present", "ambiguous", "reason", "accepted", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
@@ -486,8 +481,8 @@ def q51_decodable_codecs(spark, sf_dir):
 
 @query()
 def q52_c1_ambiguity(spark, sf_dir):
-    rows = variants.codec_variants(table(spark, sf_dir, "documents"), ("iso8859-1", "cp1252", "utf-8", "cp437"))
-    found = detect.detect(rows, _model(rows), diagnose=True)
+    docs, labels = table(spark, sf_dir, "documents"), ("iso8859-1", "cp1252", "utf-8", "cp437")
+    found = detect.detect(variants.codec_variants(docs, labels), _model(docs, labels), diagnose=True)
     return found.select("doc_id", "label", "detection.encoding", "ambiguity.warning", "ambiguity.reason", "ambiguity.alternatives")
 
 
@@ -496,10 +491,11 @@ def q54_grouped_cv_accuracy(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("fold", B.fold3(F.col("source")))
     out = None
     for k in range(3):
-        train, test = (variants.codec_variants(docs.filter(c), _DETECT_LABELS) for c in (F.col("fold") != k, F.col("fold") == k))
-        if train.select("label").distinct().count() < 2:
+        train, test = docs.filter(F.col("fold") != k), docs.filter(F.col("fold") == k)
+        if train.isEmpty():
             continue
-        own = detect.detect(test, _model(train)).select(F.lit(k).alias("fold"), "label", F.coalesce(F.col("detection.encoding") == F.col("label"), F.lit(False)).alias("ok"), F.col("detection.encoding").isNull().alias("unknown"))
+        own = detect.detect(variants.codec_variants(test, _DETECT_LABELS), _model(train, _DETECT_LABELS))
+        own = own.select(F.lit(k).alias("fold"), "label", F.coalesce(F.col("detection.encoding") == F.col("label"), F.lit(False)).alias("ok"), F.col("detection.encoding").isNull().alias("unknown"))
         own = own.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ok")).alias("correct"), F.count_if(F.col("unknown")).alias("unknown"))
         out = own if out is None else out.unionByName(own)
     return out
