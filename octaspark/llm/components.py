@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from .shared import drop, save
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every end of the edges (a, b), two longs; component is a node of it."""
+def components(edges: DataFrame, clean: bool = False) -> DataFrame:
+    """(node, component) for every end of the edges (a, b), two longs; component is a node of it.
+
+    ``clean`` edges are a saved table without loops and repeats.
+    """
     spark = edges.sparkSession
-    edges, path = save(edges.select("a", "b").filter("a <> b").distinct())
-    paths, steps, turn = [path], [], 0
+    paths, steps, turn = [], [], 0
+    if not clean:
+        edges, path = save(edges.select("a", "b").filter("a <> b").distinct())
+        paths.append(path)
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731

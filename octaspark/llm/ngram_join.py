@@ -44,7 +44,7 @@ from .components import components
 from .shared import arrow_map, drop, save, slices, small, strings, text_bytes
 from .words import mix, sequence_hash, shingles, words
 
-SIZE, THRESHOLD, TREES, DEPTH, RECALL, BLOCK = 5, 0.8, 24, 8, 0.9999, 1024
+SIZE, THRESHOLD, TREES, DEPTH, RECALL, BLOCK = 5, 0.8, 24, 6, 0.9999, 1024
 #: Shingles in a block, and cells of a block's incidence matrix, at most.
 BLOCK_SHINGLES, CELLS = 2_000_000, 8_000_000
 _RNG = np.random.default_rng(77)
@@ -168,11 +168,12 @@ def _forest(link: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compare(num: int, den: int, trees: int, length: int):
+def _compare(num: int, den: int, trees: int, lengths: range):
     """Input is sorted by (grp, bi, bj); a group of one block has bi = bj.
 
     Of each text: the first text of its block pair that it is connected with,
-    its links, and how many links these stand for, as estimated.
+    its links, and how many links these stand for, as estimated for each of the
+    prefix lengths.
     """
 
     def group(own: dict) -> list[tuple]:
@@ -188,8 +189,9 @@ def _compare(num: int, den: int, trees: int, length: int):
             link[:cut, cut:], alike[:cut, cut:] = linked(sets[:cut], sets[cut:], num, den)
             link[cut:, :cut], alike[cut:, :cut] = link[:cut, cut:].T, alike[:cut, cut:].T
         root = _forest(link)
-        chance = 1 - (1 - np.where(link, alike, 1.0) ** length) ** trees
-        return [(int(r), int(rep[t]), int(k), int(m), float(e)) for r, t, k, m, e in zip(rep, root, link @ copies, link.sum(1), np.where(link, 1 / chance, 0.0).sum(1))]
+        own, other = np.nonzero(link)
+        sure = [np.bincount(own, 1 / (1 - (1 - alike[own, other] ** n) ** trees), len(rep)) for n in lengths]
+        return [(int(r), int(rep[t]), int(k), int(m), list(map(float, e))) for r, t, k, m, e in zip(rep, root, link @ copies, link.sum(1), zip(*sure))]
 
     def fit(key, own) -> bool:
         return len(own) > 1 and (key[1] == key[2] or len({x[0] for x in own.values()}) > 1)
@@ -199,7 +201,7 @@ def _compare(num: int, den: int, trees: int, length: int):
 
         def out(found):
             cols = list(zip(*found)) or [()] * 5
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.float64())], names=["rep", "root", "links", "found", "stand"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.float64()))], names=["rep", "root", "links", "found", "stand"])
 
         for batch in batches:
             found = []
@@ -224,7 +226,7 @@ def _groups(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     by = ["tree", *[f"p{w}" for w in range(len(node) - 1)]]
     hubs = own.groupBy(*by).agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").drop("last")
     edges, _ = save(own.join(hubs, by).filter("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    return edges, components(edges)
+    return edges, components(edges, clean=True)
 
 
 def _blocks(rows: DataFrame, edges: DataFrame, member: DataFrame, length: int, block: int) -> tuple[DataFrame, DataFrame | None]:
@@ -277,25 +279,27 @@ def join(docs: DataFrame, size: int = SIZE, num: int = 4, den: int = 5, trees: i
     short = rows.select("rep", "label", *node)
     alive = short.groupBy(*by).agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select(*by)
     rows, rows_at = save(short.join(alive, by, "left_semi").select("rep", "tree", "label"))
-    seen, settled = None, None
-    for length in range(depth, shortest - 1, -1):
+    seen, settled, lengths = None, None, range(depth, shortest - 1, -1)
+    for length in lengths:
         edges, group = _groups(rows, length)
         member = group.join(texts.select(F.col("row").alias("node"), "n", "hi", "lo", "doc_id"), "node").join(rep.select(F.col("rep").alias("node"), "copies"), "node")
-        sign = group.groupBy("component").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("many"), F.min("node").alias("first"))
-        sign, _ = save(sign)
-        todo = sign
+        if len(lengths) > 1:
+            sign = group.groupBy("component").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("many"), F.min("node").alias("first"))
+            sign, _ = save(sign)
         if seen is not None:  # groups that are as they were keep what was found
             todo = sign.join(settled.select("sum", "many", "first"), ["sum", "many", "first"], "left_anti")
-        member, _ = save(member.join(small(todo.select("component")), "component", "left_semi"))
-        fresh, _ = save(_verify(docs, rows, edges, member, length, size, num, den, trees, block))
+            member = member.join(small(todo.select("component")), "component", "left_semi")
+        member, _ = save(member)
+        fresh, _ = save(_verify(docs, rows, edges, member, length, lengths, size, num, den, trees, block))
         if seen is not None:
             fresh, _ = save(seen.join(small(member.select(F.col("node").alias("rep"))), "rep", "left_anti").unionByName(fresh))
-        seen, settled = fresh, sign
-        found, stand = seen.agg(F.sum("found"), F.sum("stand")).first()
+        seen, settled = fresh, sign if len(lengths) > 1 else None
+        if length == shortest and log is None:
+            break
+        found, stand = seen.agg(F.sum("found"), F.sum(F.get("stand", depth - length))).first()
         share = (found or 0) / stand if stand else 1.0
         if log is not None:
             log.append({"length": length, "links": (found or 0) // 2, "recall": share})
-        # the weights of what was found at longer prefixes are too high for this length: the estimate is on the safe side
         if share >= recall:
             break
     cls = components(seen.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -324,7 +328,7 @@ def _sides(pairs: DataFrame) -> DataFrame:
     return pairs.select("component", F.col("bi").alias("block"), "bi", "bj").unionByName(pairs.filter("bi < bj").select("component", F.col("bj").alias("block"), "bi", "bj"))
 
 
-def _verify(docs: DataFrame, rows: DataFrame, edges: DataFrame, member: DataFrame, length: int, size: int, num: int, den: int, trees: int, block: int) -> DataFrame:
+def _verify(docs: DataFrame, rows: DataFrame, edges: DataFrame, member: DataFrame, length: int, lengths: range, size: int, num: int, den: int, trees: int, block: int) -> DataFrame:
     """Roots, links and their estimates (rep, root, links, found, stand) of the texts of the given groups."""
     member, pairs = _blocks(rows, edges, member, length, block)
     ids = member.select("doc_id").distinct()
@@ -337,4 +341,4 @@ def _verify(docs: DataFrame, rows: DataFrame, edges: DataFrame, member: DataFram
         sets = sets.join(small(_sides(pairs)), ["component", "block"], "left")
     sent = sets.select("component", F.coalesce("bi", F.lit(0)).alias("bi"), F.coalesce("bj", F.lit(0)).alias("bj"), F.col("node").alias("rep"), "block", "copies", "shingles")
     sent = sent.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
-    return arrow_map(sent, _compare(num, den, trees, length), "rep long, root long, links long, found long, stand double")
+    return arrow_map(sent, _compare(num, den, trees, lengths), "rep long, root long, links long, found long, stand array<double>")
