@@ -190,7 +190,7 @@ def _span(ids: DataFrame, ranges: int, n: int, nulls: int) -> tuple[Column, Colu
     a doc_id that is several quantiles between hashes of the text.
     """
     coarse = min(ranges, 1024)
-    marks = [int(m) for m in ids.dropna().approxQuantile("doc_id", [i / coarse for i in range(coarse + 1)], 0.1 / coarse)]
+    marks = [max(-(2**63), min(2**63 - 1, int(m))) for m in ids.dropna().approxQuantile("doc_id", [i / coarse for i in range(coarse + 1)], 0.1 / coarse)]
     hot = {m: k - 1 for m, k in Counter(marks).items() if k > 2 and n > 4 * ranges}
     marks = sorted({*marks, *(m + 1 for m in hot if m < 2**63 - 1)}) or [0]
     fine = -(-ranges // coarse)
