@@ -465,3 +465,22 @@ def q94_trigram_totals(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").filter(~F.coalesce("text", F.lit("")).rlike("[ßŉǰİ]"))
     n = X.row_trigrams(rows, "doc_id").groupBy("doc_id").agg(F.sum("tf").alias("n"))
     return rows.select("doc_id", "lang").join(n, "doc_id", "left").groupBy("lang").agg(F.sum(F.coalesce("n", F.lit(0))).alias("grams"), F.count(F.lit(1)).alias("docs"))
+
+
+_PRIOR = "pr AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM documents)) AS prior FROM documents GROUP BY lang)"
+
+
+@query(_nb_sql(_T_BIN, 2048) + f", {_PRIOR}, t AS (SELECT s.doc_id, s.lang, s.score * z.n + prior AS score FROM s JOIN z ON z.doc_id = s.doc_id JOIN pr ON pr.lang = s.lang) SELECT doc_id, lang, round(score, 4) AS score FROM t")
+def q95_nb_with_priors(spark, sf_dir):
+    rows = raws(spark, sf_dir, "lang")
+    s = bayes.total_score(bayes.row_bins(rows, "doc_id"), bayes.fit(rows, "lang"), bayes.priors(rows, "lang"), "doc_id", "lang")
+    return s.select("doc_id", "lang", F.round("score", 4).alias("score"))
+
+
+@query(_nb_sql("x * 256 + y", 65536) + f""", {_PRIOR}, t AS (SELECT s.doc_id, s.lang, s.score + 0.05 * prior AS score FROM s JOIN pr ON pr.lang = s.lang),
+r AS (SELECT doc_id, lang, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM t)
+SELECT a.doc_id, CASE WHEN a.score - b.score >= 0.015 THEN a.lang END AS lang, round(1 / (1 + exp(-least(a.score - b.score, 80))), 6) AS confidence FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.r = 1 AND b.r = 2""")
+def q96_bigram_nb_detect(spark, sf_dir):
+    rows = raws(spark, sf_dir, "lang")
+    s = bayes.score(bayes.row_bins(rows, "doc_id", kind="bigram"), bayes.fit(rows, "lang", kind="bigram"), "doc_id", "lang", "bigram")
+    return bayes.decide(s, bayes.priors(rows, "lang"), "doc_id", "lang").select("doc_id", "lang", F.round("confidence", 6).alias("confidence"))

@@ -66,7 +66,7 @@ def judge(rows: DataFrame, kind: str = "training") -> DataFrame:
     rules = [("invalid JSON", ~F.col("json"))]
     rules += [(f"missing {x}", blank(x)) for x in ("path", "encoding", "group", "split")]
     rules += [("unsupported split", ~F.col("split").isin(*own["splits"])), ("path escapes manifest directory", F.col("path").rlike(r"(^/)|(^|/)\.\.(/|$)"))]
-    rules += [("missing file", F.col("raw").isNull()), ("empty input", F.length("raw") == 0)]
+    rules += [("missing or empty input", F.col("raw").isNull()), ("empty input", F.length("raw") == 0)]
     if own["digests"]:
         rules += [(f"{x} mismatch", F.col(x).isNotNull() & (F.col(x) != F.col(y))) for x, y in (("sha256", "sha"), ("prefix_sha256", "prefix_sha"))]
     if own["codec"]:
