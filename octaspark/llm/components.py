@@ -1,9 +1,11 @@
 """Connected components of an edge table, by contraction in rounds.
 
 In each round every node points to the neighbour (or itself) with the least
-hash, and the edges are drawn between what their ends point to. The hash
-changes by round, so chains shrink as fast as stars; rounds grow with the
-logarithm of the number of nodes. Nothing is collected.
+rank, and the edges are drawn between what their ends point to. In the first
+round the rank is the node itself, so stars around their least node, as the
+operators draw them, are done at once. Then it is a hash that changes by round,
+so chains shrink as fast as stars; rounds grow with the logarithm of the number
+of nodes. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def components(edges: DataFrame, clean: bool = False) -> DataFrame:
         paths.append(path)
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
+        rank = lambda c: F.struct((F.xxhash64(c, F.lit(turn)) if turn else F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         to = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("near"))
         to, path = save(to.select("node", F.least(rank("node"), "near")["v"].alias("to")))
         paths.append(path)

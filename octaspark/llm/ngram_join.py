@@ -179,7 +179,7 @@ def _compare(num: int, den: int, trees: int, lengths: range):
     def group(own: dict) -> list[tuple]:
         rep = np.array(list(own))
         block, copies = (np.array([own[r][k] for r in own]) for k in (0, 1))
-        order = np.argsort(block, kind="stable")
+        order = np.lexsort((rep, block))  # so the first of a tree is the least text of its block
         rep, block, copies = rep[order], block[order], copies[order]
         sets = [np.frombuffer(own[r][2], np.uint64) for r in rep.tolist()]
         if (cut := int((block == block[0]).sum())) == len(rep):
