@@ -185,3 +185,27 @@ def canonical_fingerprint(manifest: DataFrame, order: str) -> DataFrame:
     every = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
     text = F.concat(F.lit("["), F.array_join(F.transform(every, lambda x: x["l"]), ","), F.lit("]"))
     return manifest.agg(F.sha2(text.cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+
+
+def masked_windows(df: DataFrame, column: str, label: str, size: int = 8192, least: int = 128) -> DataFrame:
+    """Three windows of each object whose charset declarations are masked, cut to whole characters of its label; equal parts once, the first by doc_id.
+
+    ``label`` is the column that names each object's encoding.
+    """
+    import pyarrow as pa
+
+    from ..cluster import ship
+    from .codecs import trim
+
+    masked = F.encode(B.mask_charset(B.latin1(F.col(column))), "ISO-8859-1")
+    rows = windows(df.withColumn(column, masked), column, size, least).select("doc_id", label, "window", "part")
+    ship(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            cut = [trim(p, e, "both" if w else "end") for e, w, p in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cut, pa.binary())], names=batch.schema.names)
+
+    rows = rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+    rows = rows.filter((F.length("part") >= least) & (B.high_count(F.col("part")) > 0)).withColumn("sha256", F.sha2("part", 256))
+    return first_seen(rows, ["sha256"], ["doc_id", "window"])

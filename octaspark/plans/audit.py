@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import bytesql as B
 from ..functions import features as X
-from ..operators import bayes, corpus, evaluate, html, route
+from ..operators import bayes, corpus, engines, evaluate, html, route
 from ..sources import manifest, variants
-from .catalogue import _DETECT_LABELS, _EVAL, _NB, _T_BIN, HX, LIST, NUMS, ORACLE_SQL, QUERIES, _eval, _nb_sql, query, raws, table
+from .catalogue import _DETECT_LABELS, _EVAL, _model, _NB, _T_BIN, HX, LIST, NUMS, ORACLE_SQL, QUERIES, _eval, _nb_sql, query, raws, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -484,3 +484,23 @@ def q96_bigram_nb_detect(spark, sf_dir):
     rows = raws(spark, sf_dir, "lang")
     s = bayes.score(bayes.row_bins(rows, "doc_id", kind="bigram"), bayes.fit(rows, "lang", kind="bigram"), "doc_id", "lang", "bigram")
     return bayes.decide(s, bayes.priors(rows, "lang"), "doc_id", "lang").select("doc_id", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def q97_engines(spark, sf_dir):
+    """Several detectors over the same objects: how many texts each reads right."""
+    docs = table(spark, sf_dir, "documents")
+    rows = variants.codec_variants(docs, _DETECT_LABELS).withColumn("key", F.concat_ws("/", "doc_id", "label"))
+    some = variants.codec_variants(docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(100).select("doc_id", "text"), _DETECT_LABELS)  # a bounded sample to learn from
+    found = engines.compare(rows, {
+        "l2": engines.linear(_model(docs, _DETECT_LABELS)), "route": engines.routes(route.fit(some.select("raw", F.col("label").alias("encoding")), full=False)[0]),
+        "transition": engines.transitions(bayes.fit(some, "label"), "label"), "structure": engines.structure(),
+    }, "key")
+    truth = rows.select("key", "label", F.col("doc_id")).join(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")), "doc_id")
+    return found.join(truth, "key").groupBy("engine", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text_sha256") == F.col("sha")).alias("right"), F.count_if(F.col("guess").isNull()).alias("abstained"))
+
+
+@query()
+def q98_masked_windows(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("utf-8").alias("label"), F.coalesce("html", F.lit("")).cast("binary").alias("raw"))
+    return corpus.masked_windows(pages, "raw", "label", 1024).select("doc_id", "window", "sha256")
