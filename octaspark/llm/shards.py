@@ -98,7 +98,3 @@ def report(docs: DataFrame, shards: int = 24) -> DataFrame:
         jump_hash(key, shards + 1).alias("grown_shard"),
     )
     return slots(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
-
-
-#: crc32 has no counterpart in DuckDB: a table-driven fold over the bytes is far too slow there, so the
-#: statement recomputes everything but text_crc32, which the tests hold against zlib.
