@@ -58,9 +58,3 @@ def binary_files(spark, path: str, cap: int = INPUT_CAP, glob: str | None = None
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
     return files.select("path", F.when(F.col("length") > cap, F.raise_error(F.concat(F.lit("file above the input cap: "), "path"))).otherwise(F.col("content")).alias("raw"))
-
-
-def stream_files(spark, path: str) -> DataFrame:
-    """The same as a stream of new files, for the stateless operators."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(path).select("path", F.col("content").alias("raw"))

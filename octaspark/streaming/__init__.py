@@ -1 +1 @@
-
+"""Structured Streaming sources and stateful reassembly."""

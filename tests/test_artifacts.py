@@ -14,7 +14,8 @@ from octaspark import __main__ as cli
 from octaspark import default
 from octaspark.operators import detect as d
 from octaspark.operators.model import Language, fit_objects
-from octaspark.sources import artifacts, manifest, variants
+from octaspark.sources import artifacts, manifest
+from octaspark.streaming import files as streams
 
 ROWS = [(f"heißt übung größe {i} ".encode(e) * 20, e) for i in range(8) for e in ("utf-8", "cp1252", "cp437")]
 
@@ -182,8 +183,21 @@ def test_stream_of_files(spark, model, tmp_path):
     os.makedirs(tmp_path / "in")
     for i, (raw, _) in enumerate(ROWS[:6]):
         (tmp_path / "in" / f"f{i}").write_bytes(raw)
-    stream = d.detect(variants.stream_files(spark, str(tmp_path / "in")), model).select("path", "detection.encoding")
+    stream = d.detect(streams.stream_files(spark, str(tmp_path / "in")), model).select("path", "detection.encoding")
     query = stream.writeStream.format("memory").queryName("octa_stream").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = {os.path.basename(r.path): r.encoding for r in spark.table("octa_stream").collect()}
     assert got == {f"f{i}": e for i, (_, e) in enumerate(ROWS[:6])}
+    streams.detect_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp2"), model).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_chunks_are_put_together(spark, tmp_path):
+    parts = [("a", 1, True, b"\x00b\x00"), ("a", 0, False, b"\xff\xfea"), ("b", 0, False, b"\xef\xbb")]
+    for k, part in enumerate(parts):
+        spark.createDataFrame([part], "key string, number int, last boolean, part binary").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema("key string, number int, last boolean, part binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    query = streams.reassemble(stream).writeStream.format("memory").queryName("octa_chunks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = [(r.key, r.raw and bytes(r.raw), r.state, r.bom_encoding) for r in spark.table("octa_chunks").collect()]
+    assert ("a", b"\xff\xfea\x00b\x00", "whole", "utf-16-le") in got and ("b", None, "incomplete", None) in got and len(got) == 3
