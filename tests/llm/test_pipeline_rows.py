@@ -57,14 +57,17 @@ def test_toxicity(spark, tables):
 def test_line_dedup(spark, tables):
     got = run(spark, tables, "line_dedup")
     assert (1006, "before\n" + tables[3]["lines"]) in got and (1007, "behind it") in got
-    assert len(got) == tables[0].count() and got.count((1003, None)) == 2 and (1004, "") in got and (1005, " \n\t") in got
+    # one long line, first held by the row without an id: nothing is left of document 1001, which is there twice
+    assert len(got) == tables[0].count() - 2 and (None, tables[3]["copy"]) in got
+    assert got.count((1003, None)) == 2 and (1004, "") in got and (1005, " \n\t") in got
 
 
 def test_near_duplicates(spark, tables):
     got = run(spark, tables, "ngram_jaccard_join")
     copies = [g for g in got if g[1] and g[1].startswith(tables[3]["copy"])]
     assert copies == [(1001, tables[3]["copy"])] and got.count((1003, None)) == 2
-    assert len(got) == tables[0].count() - 3
+    # 1006 and 1007 share all but their first and last words
+    assert len(got) == tables[0].count() - 4 and 1006 in {i for i, _ in got} and 1007 not in {i for i, _ in got}
 
 
 def test_decontamination(spark, tables):
