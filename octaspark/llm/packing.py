@@ -12,8 +12,8 @@ are put back best-fit, the largest first. The child takes the place of the
 worst. An island stops where it reaches the lower bound (all tokens over the
 capacity). Between epochs the populations stay, and the elite of every island
 migrates to the next one, where it takes the place of the worst. In the last
-epoch a best-fit decreasing grouping joins each population, so that no cell has
-more sequences than that.
+epoch a best-fit decreasing grouping takes the place of the worst but the guest,
+so that no cell has more sequences than that.
 
 Of each cell's best grouping, bins that are filled to ``FULL`` are final. The
 emptiest others, up to half of the cell's pieces, are dealt anew to fewer
@@ -246,9 +246,9 @@ def _island(capacity: int, epoch: int, last: bool, generations: int = GENERATION
         if epoch:
             people = [Grouping.given(sizes, n, capacity) for n in np.stack(frame["people"].to_list()).T.astype(np.int64)]
             people[-1] = Grouping.given(sizes, frame["guest"].to_numpy(np.int64), capacity)
-        begun = len(people[0].room) if people else 0
-        if last:
-            people = people[: max(1, population - 1)] + [Grouping.of(sizes, np.argsort(-sizes, kind="stable"), capacity)]
+        if last:  # the guest, which came last, stays: the worst of the others makes room
+            native = people[: max(0, population - 2)] if epoch else []
+            people = native + people[-1:] + [Grouping.of(sizes, np.argsort(-sizes, kind="stable"), capacity)]
         people, born = evolve(sizes, people, rng, capacity, generations, max(population, len(people)))
         best = people[0]
         # what is dealt anew: the emptiest bins that aren't full, up to half of the pieces
@@ -259,7 +259,7 @@ def _island(capacity: int, epoch: int, last: bool, generations: int = GENERATION
         again[empty[np.cumsum(held[empty]) <= len(sizes) // 2]] = True
         return frame.assign(
             people=list(np.stack([p.number for p in people[:population]], 1).astype(np.int32)), guest=best.number.astype(np.int32), again=again[best.number],
-            bins=len(best.room), fill=best.fitness[1], born=born, begun=begun,
+            bins=len(best.room), fill=best.fitness[1], born=born,
         )
 
     return run
@@ -284,7 +284,7 @@ def solve(items: DataFrame, capacity: int = CAPACITY, cell: int = CELL, generati
         note: dict = {"level": level, "cells": cells, "generations": 0}
         for epoch in range(EPOCHS):
             last = epoch + 1 == EPOCHS
-            found = crowd.groupBy("cell", "island").applyInPandas(_island(capacity, epoch, last, generations, population), _STATE + ", again boolean, bins long, fill double, born long, begun long")
+            found = crowd.groupBy("cell", "island").applyInPandas(_island(capacity, epoch, last, generations, population), _STATE + ", again boolean, bins long, fill double, born long")
             found, found_at = save(found)
             each = found.groupBy("cell", "island").agg(*[F.first(c).alias(c) for c in ("bins", "fill", "born")])
             # the elite: each cell's best island, the first among equals

@@ -1,6 +1,7 @@
 """The genetic algorithm of the packing operator: it runs, keeps every piece, and beats best-fit decreasing where that misses the bound."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,19 @@ def test_generations_gain(kind):
     assert born == 16 and len(people[0].room) < len(start[0].room) and len(people[0].room) < decreasing(sizes, 4096)
 
 
+@pytest.mark.parametrize("last", [False, True])
+def test_guests_take_part(last):
+    """An elite that migrated is among the population that breeds: without generations, the best is the guest itself."""
+    rng = np.random.default_rng(8)
+    sizes = hard(rng, 100)
+    people = [Grouping.of(sizes, rng.permutation(len(sizes)), 4096) for _ in range(packing.POPULATION)]
+    guest = np.tile(np.arange(100), 3)  # the triplets themselves: 100 full sequences
+    frame = pd.DataFrame({"item": np.arange(len(sizes)), "length": sizes, "cell": 0, "people": list(np.stack([p.number for p in people], 1).astype(np.int32)), "guest": guest.astype(np.int32), "island": 0})
+    got = packing._island(4096, 1, last, generations=0)((0, 0), frame)
+    assert min(len(p.room) for p in people) > 100 and decreasing(sizes, 4096) > 100
+    assert got["bins"].unique().tolist() == [100] and len(got["people"].iloc[0]) == packing.POPULATION
+
+
 def test_one_cell_and_levels(spark):
     rng = np.random.default_rng(6)
     sizes = hard(rng, 300)
