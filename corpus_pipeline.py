@@ -9,13 +9,27 @@ apart as rows: doc_ids may be null or repeated.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octaspark.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
-from octaspark.llm.shared import hide, save, show, small, table
+from octaspark.llm.shared import hide, save, show, shrink, small, table
+
+
+def lean(stage):
+    """The stage, begun with executors that hold no more heap than they need: the memory that the stage before took isn't this one's."""
+
+    @wraps(stage)
+    def run_lean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrink(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_lean
 
 
+@lean
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labelled ones among ``docs``.
 
@@ -25,6 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
+@lean
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines go; a document of which nothing but blanks is left goes with them.
 
@@ -41,6 +56,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return show(out.drop("kept_text", "lines_gone"), docs, "doc_id", "text", "n_chars")
 
 
+@lean
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates stays: of its least doc_id, the first row (null ids come last).
 
@@ -51,6 +67,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return show(rows.join(small(gone), "octa_row", "left_anti").drop("octa_row"), docs, "doc_id", "text")
 
 
+@lean
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold eight consecutive words of a benchmark item, or two shorter items, go.
 
@@ -59,6 +76,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@lean
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents that are left, in sequences of at most 4096 tokens; null texts are empty ones, repeated rows pieces of their own."""
     return packing.pack(docs)
