@@ -8,6 +8,7 @@ import pyarrow as pa
 from octaspark import cluster
 from octaspark.functions import features
 from octaspark.operators import bayes
+from octaspark.plans import audit
 
 TEXTS = [(1, "de", "Grüße aus der Stadt " * 20), (2, "en", "the quick brown fox " * 9), (2, "en", "jumps over"), (3, "en", "x"), (4, "de", ""), (5, "fr", "été " * 90_000)]
 
@@ -61,3 +62,12 @@ def test_few_counts_are_held(spark, monkeypatch):
     got = {(r.k, r.bin): r.n for r in features.bins(df, "bigram", "k").collect()}
     want = Counter(x for i in range(50) for x in ((i % 7, i << 8 | i + 1), (i % 7, (i + 1) << 8 | i)))
     assert got == dict(want)
+
+
+def test_bigrams_of_whole_texts(spark, tmp_path):
+    """Two documents that differ after their first 4096 bytes only."""
+    rows = [(1, "de", "a" * 5000 + "bc" * 400), (2, "en", "a" * 5000 + "xy" * 400)]
+    spark.createDataFrame(rows, "doc_id int, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = plain([(k, label, t.encode()) for k, label, t in rows], lambda a, b: a << 8 | b, 65536, None)
+    got = {(r.doc_id, r.lang): r.score for r in audit.QUERIES["q28_bigram_nb_score"](spark, str(tmp_path)).collect()}
+    assert got == {k: round(v, 6) for k, v in want.items()} and got[1, "de"] > got[1, "en"]
