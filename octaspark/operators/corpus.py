@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import saved
+from ..cluster import saved, stream
 from ..functions import bytesql as B
 from ..schemas import OVERLAP, PREFIX, RESIDUAL
 
@@ -194,18 +194,16 @@ def masked_windows(df: DataFrame, column: str, label: str, size: int = 8192, lea
     """
     import pyarrow as pa
 
-    from ..cluster import ship
     from .codecs import trim
 
     masked = F.encode(B.mask_charset(B.latin1(F.col(column))), "ISO-8859-1")
     rows = windows(df.withColumn(column, masked), column, size, least).select("doc_id", label, "window", "part")
-    ship(df.sparkSession)
 
     def run(batches):
         for batch in batches:
             cut = [trim(p, e, "both" if w else "end") for e, w, p in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cut, pa.binary())], names=batch.schema.names)
 
-    rows = rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+    rows = stream(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
     rows = rows.filter((F.length("part") >= least) & (B.high_count(F.col("part")) > 0)).withColumn("sha256", F.sha2("part", 256))
     return first_seen(rows, ["sha256"], ["doc_id", "window"])

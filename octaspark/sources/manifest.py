@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import ship, stream
 from ..functions import bytesql as B
 from ..operators import codecs as c
 from ..operators import corpus
@@ -40,7 +40,6 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def _decodes(df: DataFrame) -> DataFrame:
     """``df`` with known (the codec exists), canonical and decodes, from raw and encoding."""
     names = df.columns
-    ship(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -51,7 +50,7 @@ def _decodes(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(canon, pa.string()), pa.array(reads, pa.bool_())], names=[*names, "canonical", "decodes"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, canonical string, decodes boolean")
+    return stream(df, run, f"{kinds}, canonical string, decodes boolean")
 
 
 def judge(rows: DataFrame, kind: str = "training") -> DataFrame:
@@ -140,7 +139,6 @@ def zipped(files: DataFrame, members: int = 10_000, total: int = 500 << 20, leas
     An archive above the bounds, or one that can't be read, gives one row with a reason.
     """
     own = files.select("path", "raw")
-    ship(files.sparkSession)
 
     def open_(path, raw):
         try:
@@ -170,7 +168,7 @@ def zipped(files: DataFrame, members: int = 10_000, total: int = 500 << 20, leas
                 cols = list(zip(*open_(p, r))) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 3 else pa.string()) for k, v in enumerate(cols)], names=["path", "name", "group", "raw", "reason"])
 
-    return own.mapInArrow(run, "path string, name string, `group` string, raw binary, reason string")
+    return stream(own, run, "path string, name string, `group` string, raw binary, reason string")
 
 
 def write(rows: DataFrame, path: str, order: str = "path") -> None:

@@ -71,3 +71,29 @@ def test_bigrams_of_whole_texts(spark, tmp_path):
     want = plain([(k, label, t.encode()) for k, label, t in rows], lambda a, b: a << 8 | b, 65536, None)
     got = {(r.doc_id, r.lang): r.score for r in audit.QUERIES["q28_bigram_nb_score"](spark, str(tmp_path)).collect()}
     assert got == {k: round(v, 6) for k, v in want.items()} and got[1, "de"] > got[1, "en"]
+
+
+def test_counts_of_tasks(spark, monkeypatch):
+    """Whatever a task holds at a time, the counts are the same."""
+    texts = [f"Straße  {i % 5}\t\nwo {chr(97 + i % 26)}{chr(98 + i % 7)} " * (1 + i % 4) for i in range(60)]
+    df = spark.createDataFrame([(i, t, t.encode()) for i, t in enumerate(texts)], "id int, text string, raw binary").repartition(3)
+    for held in (features.HELD, 40):
+        monkeypatch.setattr(features, "HELD", held)
+        tri, low = Counter(), Counter()
+        docs = Counter()
+        for t in texts:
+            u = " ".join(t.casefold().replace("\t", " ").replace("\n", " ").split(" ")).replace("   ", " ").replace("  ", " ")
+            tri.update(u[i : i + 3] for i in range(len(u) - 2))
+            v = features.view(t.encode())
+            own = Counter(v[i : i + n] for n in (2, 3) for i in range(len(v) - n + 1))
+            low.update(own)
+            docs.update(own.keys())
+        assert {r.gram: r.n for r in features.trigram_counts(df).collect()} == dict(tri)
+        assert {r.gram: (r.df, r.cf) for r in features.ngram_counts(df).collect()} == {g: (docs[g], n) for g, n in low.items()}
+        assert sum(r.n for r in features.trigram_totals(df, "id").collect()) == sum(tri.values())
+
+
+def test_totals_of_equal_keys(spark, tmp_path):
+    """Two rows of one doc_id count once each."""
+    spark.createDataFrame([(1, "en", "abcde"), (1, "en", "abcd")], "doc_id int, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in audit.QUERIES["q94_trigram_totals"](spark, str(tmp_path)).collect()] == [("en", 5, 2)]
