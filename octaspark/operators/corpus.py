@@ -51,10 +51,11 @@ def overlap(held: DataFrame, training: DataFrame, key: str, column: str, shared:
 def residual(df: DataFrame, label: str, guess: str, order: str, drop: float = RESIDUAL["drop"], anchors: int = RESIDUAL["anchors"]) -> DataFrame:
     """Rows that structure doesn't already decide: right guesses go, in order, up to a share of each label."""
     hit = F.coalesce(F.col(guess) == F.col(label), F.lit(False))
-    size = df.groupBy(label).agg(F.count(F.lit(1)).alias("octa_n"))
+    keys = saved(df.select(label, order, hit.alias("octa_hit")))  # guesses may be dear: they are made once
+    size = keys.groupBy(label).agg(F.count(F.lit(1)).alias("octa_n"))
     limit = F.least(F.col("octa_n") - anchors, F.floor(F.col("octa_n").cast("double") * F.lit(float(drop))))
     # only the keys of right guesses are numbered; those beyond the limit stay
-    place = numbered(df.filter(hit).select(label, order), order, label, "octa_place").join(size.select(label, limit.alias("octa_limit")), label)
+    place = numbered(keys.filter("octa_hit").select(label, order), order, label, "octa_place").join(size.select(label, limit.alias("octa_limit")), label)
     gone = place.filter(F.col("octa_place") < F.col("octa_limit")).select(label, order)
     return df.join(gone, [label, order], "left_anti")
 
