@@ -1,13 +1,15 @@
 """What grows with the tables elsewhere: pieces of batches, naive Bayes where objects are read."""
 
 import math
+import random
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from octaspark import cluster
-from octaspark.functions import features
-from octaspark.operators import bayes
+from octaspark.functions import bytesql, features
+from octaspark.operators import bayes, corpus, detect, engines, model, route
 from octaspark.plans import audit
 
 TEXTS = [(1, "de", "Grüße aus der Stadt " * 20), (2, "en", "the quick brown fox " * 9), (2, "en", "jumps over"), (3, "en", "x"), (4, "de", ""), (5, "fr", "été " * 90_000)]
@@ -97,3 +99,64 @@ def test_totals_of_equal_keys(spark, tmp_path):
     """Two rows of one doc_id count once each."""
     spark.createDataFrame([(1, "en", "abcde"), (1, "en", "abcd")], "doc_id int, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in audit.QUERIES["q94_trigram_totals"](spark, str(tmp_path)).collect()] == [("en", 5, 2)]
+
+
+def test_lanes_of_odd_objects(spark):
+    """NUL bytes by lane; what is left of a step at the end, or beyond the prefix, isn't counted."""
+    rng = random.Random(3)
+    raws = [b"", b"\x00", b"\x00\x00\x00", b"\n\x00" * 40, b"\x00" * 5000, "aé\n".encode("utf-32-be") * 30]
+    raws += [bytes(rng.choice(b"\x00\x00a\n\xff\x85") for _ in range(n)) for n in (5, 31, 32, 33, 64, 257, 4095, 4097, 6000)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "id int, raw binary")
+    lanes = [(s, k) for s in (2, 4) for k in range(s)]
+    for r in df.select("id", *[bytesql.lanes(F.col("raw"), s, k) for s, k in lanes]).collect():
+        p = raws[r[0]][:4096]
+        assert list(r[1:]) == [p[: len(p) // s * s][k::s].count(0) for s, k in lanes], r[0]
+
+
+def test_engines_see_an_object_once(spark):
+    """Every row of every engine, keys that occur twice too, without a shuffle of the objects."""
+    texts = ["Grüße aus der Straße", "naïve façade", "plain words only", "señor café"]
+    rows = [(i % 5, e, (t * (2 + i % 3)).encode(e)) for i, t in enumerate(texts * 6) for e in ("utf-8", "cp1252", "utf-16-le")]
+    df = spark.createDataFrame(rows, "id int, label string, raw binary")
+    l2 = model.fit_objects(sorted({(r, e) for _, e, r in rows if r not in {x for _, y, x in rows if y != e}}))
+    found = engines.compare(df, {"l2": engines.linear(l2), "nb": engines.transitions(bayes.fit(df, "label"), "label"), "bytes": engines.structure()}, ["id", "label"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = Counter((r.engine, r.id, r.label, r.guess) for r in found.collect())
+    want = Counter(("l2", i, e, detect.detect_bytes(r, l2).encoding) for i, e, r in rows)
+    best = {(r.octa_k): r.label for r in bayes.rank(bayes.score_objects(df.drop("label").dropDuplicates(["raw"]).withColumn("octa_k", F.sha2("raw", 256)), bayes.fit(df, "label"), "octa_k", "label"), "octa_k", "label", 1).collect()}
+    import hashlib
+
+    want += Counter(("nb", i, e, best[hashlib.sha256(r).hexdigest()]) for i, e, r in rows)
+    assert {k: n for k, n in got.items() if k[0] != "bytes"} == dict(want) and sum(got.values()) == 3 * len(rows)
+
+
+def test_guesses_are_made_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def guess(i):
+        calls.add(1)
+        return "a" if i % 3 else "b"
+
+    df = spark.range(300).select("id", F.lit("a").alias("label")).withColumn("guess", guess.asNondeterministic()("id"))
+    left = {r.id for r in corpus.residual(df, "label", "guess", "id").select("id", "label").collect()}
+    right = [i for i in range(300) if i % 3]
+    assert left == set(range(300)) - set(right[:105]) and calls.value <= 600  # once for the keys, once for the rows themselves
+
+
+def test_variants_in_one_pass(spark):
+    raws = [b"", "Grüße\n".encode() * 200, "ひらがな".encode("shift_jis"), "Привет".encode("cp1251")]
+    df = spark.createDataFrame(list(enumerate(raws)), "id int, raw binary")
+    for r in route.variant_vectors(df, "id").collect():
+        assert all(r[k] == v.tolist() for k, v in route.variants(raws[r.id]).items())
+
+
+def test_language_scores_of_odd_texts():
+    for grams in ({"abc": 3, "bc ": 1, "ñan": 7}, {}, {chr(200 + i) + "ab": i for i in range(300)}, {"\U0001f600ab": 2, "abc": 1}):
+        m = model.Language(grams)
+        for text in ("abc  \tABC ñanñan x", "\U0001f600ab" * 9, "a" * 11, "a" * 14, "Straße \u3000 \x1c x" * 3, "\ud800" * 20):
+            own = features.trigrams(text)
+            total = math.log(sum(grams.values()) + 0.5 * (len(grams) + 1))
+            want = sum(math.log(grams.get(g, 0) + 0.5) for g in own) / len(own) - total if len(own) >= 12 else None
+            got = m.score(text)
+            assert got is want is None or math.isclose(got, want, abs_tol=1e-12)
