@@ -160,3 +160,11 @@ def test_language_scores_of_odd_texts():
             want = sum(math.log(grams.get(g, 0) + 0.5) for g in own) / len(own) - total if len(own) >= 12 else None
             got = m.score(text)
             assert got is want is None or math.isclose(got, want, abs_tol=1e-12)
+
+
+def test_trigram_codes_of_odd_texts():
+    """Counted by a short table and by sorting; no trigram reaches over two texts."""
+    for texts in ([""], ["ab"], ["", "abc", "", "abcabc", "x"], ["\x00\x00\x00a", "\U0010ffffab\U0010ffff"], ["".join(map(chr, range(300, 900))), "abc"]):
+        code, n = features._trigram_codes(texts)
+        got = {"".join(chr(int(c) >> k & 0x1FFFFF) for k in (42, 21, 0)): m for c, m in zip(code, n.tolist())}
+        assert got == dict(Counter(t[i : i + 3] for t in texts for i in range(len(t) - 2)))
