@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,6 +190,21 @@ def canonical_fingerprint(manifest: DataFrame, order: str) -> DataFrame:
     return manifest.agg(F.sha2(text.cast("binary"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
 
 
+_CHARSET = re.compile(rb"(?i)charset\s{0,8}=\s{0,8}[\"']?")
+_TOKEN = re.compile(rb"[A-Za-z0-9_.:-]{0,64}")
+
+
+def masked(raw: bytes) -> bytes:
+    """As :func:`octaspark.functions.bytesql.mask_charset`, for the bytes of one object; a token may itself end in ``charset``."""
+    out = None
+    for m in _CHARSET.finditer(raw):
+        a, b = _TOKEN.match(raw, m.end()).span()
+        if b > a:
+            out = out or bytearray(raw)
+            out[a:b] = b"?" * (b - a)
+    return bytes(out) if out else raw
+
+
 def masked_windows(df: DataFrame, column: str, label: str, size: int = 8192, least: int = 128) -> DataFrame:
     """Three windows of each object whose charset declarations are masked, cut to whole characters of its label; equal parts once, the first by doc_id.
 
@@ -197,14 +214,22 @@ def masked_windows(df: DataFrame, column: str, label: str, size: int = 8192, lea
 
     from .codecs import trim
 
-    masked = F.encode(B.mask_charset(B.latin1(F.col(column))), "ISO-8859-1")
-    rows = windows(df.withColumn(column, masked), column, size, least).select("doc_id", label, "window", "part")
+    own = df.select("doc_id", label, F.col(column).cast("binary").alias("octa_raw"))
+    told = lambda p: len(p) >= least and not p.isascii()
 
     def run(batches):
         for batch in batches:
-            cut = [trim(p, e, "both" if w else "end") for e, w, p in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cut, pa.binary())], names=batch.schema.names)
-
-    rows = stream(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
-    rows = rows.filter((F.length("part") >= least) & (B.high_count(F.col("part")) > 0)).withColumn("sha256", F.sha2("part", 256))
+            at, found, parts = [], [], []
+            for k, (e, raw) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                raw = masked(raw) if raw is not None else b""
+                for w, begin in enumerate((0, len(raw) // 3, 2 * len(raw) // 3)):
+                    part = raw[begin : begin + size]
+                    if told(part) and told(part := trim(part, e, "both" if w else "end")):
+                        at.append(k)
+                        found.append(w)
+                        parts.append(part)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at, pa.int32())) for k in (0, 1)), pa.array(found, pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", label, "window", "part"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.drop("octa_raw").schema)
+    rows = stream(own, run, f"{kinds}, window int, part binary").withColumn("sha256", F.sha2("part", 256))
     return first_seen(rows, ["sha256"], ["doc_id", "window"])

@@ -168,3 +168,14 @@ def test_trigram_codes_of_odd_texts():
         code, n = features._trigram_codes(texts)
         got = {"".join(chr(int(c) >> k & 0x1FFFFF) for k in (42, 21, 0)): m for c, m in zip(code, n.tolist())}
         assert got == dict(Counter(t[i : i + 3] for t in texts for i in range(len(t) - 2)))
+
+
+def test_masked_as_by_expression(spark):
+    raws = [b"", b"charset=", b"x CharSet = 'utf-8' charset=charset=koi8-r;", b"charset=" + b"a" * 70 + b" b", b"charset =         far charset\t=\n\"x.y:z_1", b"charset=\xe9a charset='\"b charset=c\xffd", b"mycharset=charset =q"]
+    rng = random.Random(5)
+    raws += [b"".join(rng.choice([b"charset", b"=", b" ", b"'", b"ab", b"\xe9", b"CHARSET=", b"-" * 40]) for _ in range(60)) for _ in range(40)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "id int, raw binary")
+    want = df.select("id", F.encode(bytesql.mask_charset(bytesql.latin1(F.col("raw"))), "ISO-8859-1").alias("m")).collect()
+    assert all(corpus.masked(raws[r.id]) == bytes(r.m) for r in want)
+    plan = corpus.masked_windows(df.select(F.col("id").alias("doc_id"), F.lit("utf-8").alias("label"), "raw"), "raw", "label")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan
